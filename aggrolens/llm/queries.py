@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, secrets, sharding, warc
+from . import ann, bpe, embedding_dedup, mixing, secrets, sharding, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -33,15 +34,23 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op9_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_warc_segments, op3_secret_scan, op8_histogram_sharding, op10_bpe_codec)
+    f.__name__: f for f in (op1_source_mixing, op2_warc_segments, op3_secret_scan, op7_embedding_near_dedup, op8_histogram_sharding, op9_curve_neighbours, op10_bpe_codec)
 }
 ORACLE_SQL: dict[str, str] = {}
