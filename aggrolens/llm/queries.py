@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, mixing, secrets, sharding, warc
+from . import ann, bpe, embedding_dedup, mixing, secrets, sharding, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -34,6 +34,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -51,6 +56,6 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_warc_segments, op3_secret_scan, op7_embedding_near_dedup, op8_histogram_sharding, op9_curve_neighbours, op10_bpe_codec)
+    f.__name__: f for f in (op1_source_mixing, op2_warc_segments, op3_secret_scan, op4_compression_toxicity, op7_embedding_near_dedup, op8_histogram_sharding, op9_curve_neighbours, op10_bpe_codec)
 }
 ORACLE_SQL: dict[str, str] = {}
