@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, mixing, secrets, sharding, toxicity, warc
+from . import ann, bpe, embedding_dedup, jaccard_join, mixing, repeats, secrets, sharding, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -39,6 +39,14 @@ def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +64,6 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_warc_segments, op3_secret_scan, op4_compression_toxicity, op7_embedding_near_dedup, op8_histogram_sharding, op9_curve_neighbours, op10_bpe_codec)
+    f.__name__: f for f in (op1_source_mixing, op2_warc_segments, op3_secret_scan, op4_compression_toxicity, op5_repeated_strings, op6_jaccard_components, op7_embedding_near_dedup, op8_histogram_sharding, op9_curve_neighbours, op10_bpe_codec)
 }
 ORACLE_SQL: dict[str, str] = {}
