@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and cut from its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed with its application's others when the driver ends."""
+    own = f"{shared_dir(spark)}/aggrolens-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_tidy, spark, own)
+    return f"{own}/{uuid.uuid4().hex}"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+_OWN: set[str] = set()
+
+
+def _tidy(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except (Py4JError, OSError, AttributeError):
+        pass  # the session has ended already
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -39,6 +49,21 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df, written as a table in the shared folder and read back: its lineage is cut, its size known, and its files outlive executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove saved tables that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t._saved_at)
+
+
 # --- bytes of many texts at once ------------------------------------------------------------
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -102,9 +127,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = saved(large.where("u <> v").distinct())
+        forget(e, low)
         low = saved(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = saved(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        forget(large, low)
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == last:
             break
