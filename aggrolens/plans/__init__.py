@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import detection
+
+QUERIES = {**detection.QUERIES}
+ORACLE_SQL = {**detection.ORACLE_SQL}
