@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection
+from . import detection, serving
 
-QUERIES = {**detection.QUERIES}
-ORACLE_SQL = {**detection.ORACLE_SQL}
+QUERIES = {**detection.QUERIES, **serving.QUERIES}
+ORACLE_SQL = {**detection.ORACLE_SQL, **serving.ORACLE_SQL}
