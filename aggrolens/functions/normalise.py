@@ -52,9 +52,14 @@ def folded(token: str) -> str:
     return "".join(LOOKS.get(c, c) for c in plain)
 
 
+def core_of(token: str) -> str:
+    """A token without the punctuation around it."""
+    return token.strip(".,;:?\"'()[]").rstrip("!.,;:?\"')]")
+
+
 def recovered(token: str) -> str | None:
     """The one harsh word that a disguised token stands for, if any."""
-    core = token.strip(".,;:?\"'()[]")
+    core = core_of(token)
     if not core or core.lower() in v.LEXICON:
         return None
     plain, words = folded(core), harsh_words()
@@ -79,7 +84,7 @@ def _replaced(token: str) -> str:
     word = recovered(token)
     if word is None:
         return token
-    core = token.strip(".,;:?\"'()[]")
+    core = core_of(token)
     return token.replace(core, word.upper() if core.isupper() and len(core) > 1 and any(c.isalpha() for c in core) else word, 1)
 
 
