@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, saved, text_bytes
+from .common import connected_components, forget, saved, text_bytes
 from .shingles import shingle_sets
 
 #: Longs of a set's parity bitmap.
@@ -85,26 +85,63 @@ def can_match(x: str, y: str, percent: int) -> Column:
     return size & (differ <= n(x) + n(y) - 2 * least_common(n(x), n(y), percent))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """sid and its set, read again from one text per wanted set (sid, rep, t)."""
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sid and text of the wanted sets (sid, rep, t); repeated rows give a text several times. Up to 200,000 identifiers are broadcast."""
+    w = wanted.select("sid", "rep", F.col("t").alias("wt"))
+    w = F.broadcast(w) if wanted.count() <= SENT else w
+    d = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    return d.join(w, (d["t"] == F.col("wt")) & d["doc_id"].eqNullSafe(F.col("rep"))).select("sid", "text")
+
+
+def sketched(texts: DataFrame, size: int) -> DataFrame:
+    """sid, n and a parity bitmap of 8192 bits for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [u.view(np.int64) for u in shingle_sets(text_bytes(b.column(1)), size)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["sid", "u"])
+            for at in range(0, b.num_rows, 500):
+                x = b.slice(at, 500)
+                n, bits = [], []
+                for u in shingle_sets(text_bytes(x.column(1)), size):
+                    n.append(len(u))
+                    bits.append(np.packbits(np.bincount((u >> np.uint64(51)).astype(np.int64), minlength=8192).astype(np.uint8) & 1).tobytes())
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], ["sid", "n", "bits"])
+
+    return texts.mapInArrow(run, "sid long, n long, bits binary").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
 
-    w = wanted.select("sid", "rep", F.col("t").alias("wt"))
-    w = F.broadcast(w) if wanted.count() <= SENT else w
-    d = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    d = d.join(w, (d["t"] == F.col("wt")) & d["doc_id"].eqNullSafe(F.col("rep"))).select("sid", "text")
-    return d.mapInArrow(run, "sid long, u array<long>").dropDuplicates(["sid"])
 
+def near_enough(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose large bitmaps still allow similarity, and in how many bits they differ (apart)."""
+    side = lambda k: sketches.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                x = b.slice(at, 2000)
+                m = [np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint64).reshape(x.num_rows, -1) for k in ("bitsa", "bitsb")]
+                apart = np.bitwise_count(m[0] ^ m[1]).sum(axis=1).astype(np.int64)
+                total = x.column("na").to_numpy() + x.column("nb").to_numpy()
+                fine = apart <= total - 2 * -(-total * percent // (100 + percent))
+                yield pa.RecordBatch.from_arrays([x.column("a").filter(pa.array(fine)), x.column("b").filter(pa.array(fine)), pa.array(apart[fine])], ["a", "b", "apart"])
+
+    p = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+    return p.mapInArrow(run, "a long, b long, apart long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar, made from their whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for at in range(0, b.num_rows, 200):
+                x = b.slice(at, 200)
+                for u, w in zip(shingle_sets(text_bytes(x.column(2)), size), shingle_sets(text_bytes(x.column(3)), size), strict=True):
+                    both = len(np.intersect1d(u, w, assume_unique=True))
+                    good.append(both * 100 >= (len(u) + len(w) - both) * percent)
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    p = pairs.join(sets.select(F.col("sid").alias("a"), F.col("u").alias("ua")), "a").join(sets.select(F.col("sid").alias("b"), F.col("u").alias("ub")), "b")
-    both = F.size(F.array_intersect("ua", "ub"))
-    return p.where(both * 100 >= (F.size("ua") + F.size("ub") - both) * percent).select("a", "b")
+    p = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
+    return p.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -113,9 +150,9 @@ def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> Data
     Equal sets are one. Sets with an equal prefix and size form a group; a group's prefix is
     joined with the others' once, and a pair of groups passes if sizes and parity bits (a lower
     bound of the difference) allow it. Pairs of groups expand to pairs of sets, filtered likewise, and these are
-    verified on the sets themselves. What is wanted are components, so pairs within one already
+    verified on the texts themselves. What is wanted are components, so pairs within one already
     known are not looked at again: a large bucket is first compared with eight pivots, of the pairs that
-    pass each set's closest is verified first, and then the pairs between different components are, all of them.
+    pass a bitmap of 8192 bits each set's closest is verified first, and then those between different components are, all of them.
     No link between different components is lost, and no bucket's pairs are all sent on.
     Shingles common to many documents come last in the order that prefixes follow.
 
@@ -129,13 +166,15 @@ def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> Data
     r = d.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", *BITS)])
     r = r.withColumn("rep", F.col("least.doc_id")).withColumn("t", F.col("least.t")).drop("least").withColumn("g", F.xxhash64("prefix", "n"))
     r = saved(r.withColumn("sid", F.monotonically_increasing_id()))
+    whole, d = d, saved(d.select("doc_id", "n", "s1", "s2"))
+    forget(whole)
     groups = r.groupBy("g", "n").agg(F.first("prefix").alias("prefix"), F.count("*").alias("m"), *[f(b).alias(f"{k}{i}") for k, f in (("a", F.bit_and), ("o", F.bit_or)) for i, b in enumerate(BITS)])
     groups = saved(groups)
     tokens = groups.select("g", F.explode("prefix").alias("token"))
     shared = saved(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
     filed = saved(tokens.join(shared, "token").join(groups.drop("prefix", "m"), "g"))
     x, y = filed.alias("x"), filed.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & can_match("x", "y", percent) & ((F.col("x.c") <= 2 * PIVOTS) | (F.pmod(F.xxhash64("x.g", "x.token"), "x.c") < PIVOTS) | (F.pmod(F.xxhash64("y.g", "x.token"), "x.c") < PIVOTS)))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") == F.col("y.c")) & (F.col("x.g") < F.col("y.g")) & can_match("x", "y", percent) & ((F.col("x.c") <= 2 * PIVOTS) | (F.pmod(F.xxhash64("x.g", "x.token"), "x.c") < PIVOTS) | (F.pmod(F.xxhash64("y.g", "x.token"), "x.c") < PIVOTS)))
     met = met.select(F.col("x.g").alias("p"), F.col("y.g").alias("q")).distinct()
     own = groups.where("m > 1").select(F.col("g").alias("p"), F.col("g").alias("q"))
 
@@ -143,8 +182,7 @@ def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> Data
 
     def expanded(pairs: DataFrame) -> DataFrame:
         p = pairs.join(member.alias("x"), F.col("p") == F.col("x.g")).join(member.alias("y"), (F.col("q") == F.col("y.g")) & ((F.col("p") < F.col("q")) | (F.col("x.sid") < F.col("y.sid"))) & can_match("x", "y", percent))
-        apart = sum((F.bit_count(F.col(f"x.a{i}").bitwiseXOR(F.col(f"y.a{i}"))) for i in range(LONGS)), F.lit(0))
-        return p.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), apart.alias("apart"))
+        return p.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
 
     def closest(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("e"), "a", "b", "apart").union(pairs.select(F.col("b").alias("e"), "a", "b", "apart"))
@@ -159,13 +197,14 @@ def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> Data
         ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
         return saved(r.select("sid", "rep", "t").join(ids, "sid", "left_semi"))
 
-    pairs = saved(expanded(met.union(own)))
-    sets = saved(sets_of(docs, wanted(pairs), size))
+    tried = saved(expanded(met.union(own)))
+    texts = saved(texts_of(docs, wanted(tried)))
+    pairs = saved(near_enough(tried, saved(sketched(texts, size)), percent))
     first = saved(closest(pairs))
-    links = saved(verified(first, sets, percent))
+    links = saved(verified(first, texts, size, percent))
     comp = saved(connected_components(links))
-    rest = between(pairs.join(first, ["a", "b"], "left_anti"), comp)
-    links = saved(links.union(verified(rest, sets, percent)))
+    rest = saved(between(pairs.join(first, ["a", "b"], "left_anti"), comp))
+    links = saved(links.union(verified(rest, texts, size, percent)))
     comp = saved(connected_components(links))
 
     of_group = r.select("g", "sid").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
@@ -173,10 +212,12 @@ def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> Data
     big = filed.where(F.col("c") > 2 * PIVOTS).join(of_group, "g")
     x, y = big.alias("x"), big.alias("y")
     apart = ~((F.col("x.lo") == F.col("y.hi")) & (F.col("x.hi") == F.col("y.lo")))
-    met2 = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & apart & can_match("x", "y", percent)).select(F.col("x.g").alias("p"), F.col("y.g").alias("q")).distinct()
-    late = saved(between(expanded(met2).join(pairs, ["a", "b"], "left_anti"), comp))
+    met2 = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & (F.col("x.c") == F.col("y.c")) & apart & can_match("x", "y", percent)).select(F.col("x.g").alias("p"), F.col("y.g").alias("q")).distinct()
+    late = saved(between(expanded(met2).join(tried, ["a", "b"], "left_anti"), comp))
     if late.take(1):
-        links = saved(links.union(verified(late, sets_of(docs, wanted(late), size), percent)))
+        texts = saved(texts_of(docs, wanted(late)))
+        late = saved(near_enough(late, saved(sketched(texts, size)), percent))
+        links = saved(links.union(verified(late, texts, size, percent)))
         comp = saved(connected_components(links))
 
     known = r.select(*key, "sid", "rep").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))

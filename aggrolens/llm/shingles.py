@@ -8,14 +8,14 @@ import numpy as np
 
 from .common import mixed, prefix_sums, span_hashes
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
 def segments(data: bytes) -> Iterator[bytes]:
-    """data cut at white space into parts of about a megabyte."""
+    """data cut at white space into parts of about half a megabyte."""
     at = 0
     while at < len(data):
         end = at + SEGMENT
@@ -51,7 +51,7 @@ def combined(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
-    """The sorted set of shingle hashes of each text. Short texts are hashed together, in parts of about a megabyte."""
+    """The sorted set of shingle hashes of each text. Short texts are hashed together, in parts of about half a megabyte."""
     at = 0
     while at < len(texts):
         end, total = at, 0
