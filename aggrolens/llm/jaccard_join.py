@@ -170,13 +170,16 @@ def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> Data
     forget(whole)
     groups = r.groupBy("g", "n").agg(F.first("prefix").alias("prefix"), F.count("*").alias("m"), *[f(b).alias(f"{k}{i}") for k, f in (("a", F.bit_and), ("o", F.bit_or)) for i, b in enumerate(BITS)])
     groups = saved(groups)
+    full, r = r, saved(r.drop("prefix"))
+    forget(full)
     tokens = groups.select("g", F.explode("prefix").alias("token"))
     shared = saved(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
     filed = saved(tokens.join(shared, "token").join(groups.drop("prefix", "m"), "g"))
     x, y = filed.alias("x"), filed.alias("y")
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") == F.col("y.c")) & (F.col("x.g") < F.col("y.g")) & can_match("x", "y", percent) & ((F.col("x.c") <= 2 * PIVOTS) | (F.pmod(F.xxhash64("x.g", "x.token"), "x.c") < PIVOTS) | (F.pmod(F.xxhash64("y.g", "x.token"), "x.c") < PIVOTS)))
     met = met.select(F.col("x.g").alias("p"), F.col("y.g").alias("q")).distinct()
-    own = groups.where("m > 1").select(F.col("g").alias("p"), F.col("g").alias("q"))
+    own = saved(groups.where("m > 1").select(F.col("g").alias("p"), F.col("g").alias("q")))
+    forget(groups, shared)
 
     member = r.select("g", "sid", "n", *[F.col(b).alias(f"{k}{i}") for k in "ao" for i, b in enumerate(BITS)])
 
@@ -199,13 +202,16 @@ def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> Data
 
     tried = saved(expanded(met.union(own)))
     texts = saved(texts_of(docs, wanted(tried)))
-    pairs = saved(near_enough(tried, saved(sketched(texts, size)), percent))
+    sketches = saved(sketched(texts, size))
+    pairs = saved(near_enough(tried, sketches, percent))
+    forget(sketches)
     first = saved(closest(pairs))
     links = saved(verified(first, texts, size, percent))
     comp = saved(connected_components(links))
     rest = saved(between(pairs.join(first, ["a", "b"], "left_anti"), comp))
     links = saved(links.union(verified(rest, texts, size, percent)))
     comp = saved(connected_components(links))
+    forget(texts)
 
     of_group = r.select("g", "sid").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     of_group = saved(of_group.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
