@@ -198,6 +198,20 @@ def test_repeats(spark, texts, indexed):
     assert len(got) == len(texts)
 
 
+@pytest.mark.parametrize("rest", [199, 200, 300, 400, 401])
+def test_anchors_of_parts(monkeypatch, rest):
+    monkeypatch.setattr(repeats, "SEGMENT", 1000)
+    text = bytes(random.Random(rest).choices(range(97, 123), k=2000 + rest))
+    ((at, h, c),) = repeats.text_anchors([text], 200)
+    whole = repeats.anchors_of(np.frombuffer(text, np.uint8), np.array([len(text)]), 200)
+    assert at.tolist() == whole[0].tolist() and h.tolist() == whole[1].tolist() and c.tolist() == whole[2].tolist()
+
+
+def test_long_text_without_repeats(spark):
+    text = "".join(random.Random(9).choices("abcdefghijklmnop", k=2 * repeats.SEGMENT + 300))
+    assert repeats.without_repeats(table(spark, [text, "other"])).agg(F.sum("n_removed")).first()[0] == 0
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.without_repeats(empty(spark)).count() == 0
 
