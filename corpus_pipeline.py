@@ -23,14 +23,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component: that with the smallest doc_id, and one of repeated rows of it. Documents without words all stay."""
-    found = jaccard_join.similar_documents(docs, size=5, percent=80).where("n_shingles > 0")
-    gone = common.saved(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    again = common.saved(again)
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(repeated)
+    """Keeps one row of each component: that with the smallest doc_id, null ones last, and of rows that share it one. Documents without words all stay.
+
+    Rows are told apart by a key of their own, as doc_ids can be null or occur with several texts.
+    """
+    rows = common.saved(docs.withColumn("_row", F.monotonically_increasing_id()))
+    ids = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row")).alias("doc_id"), "text")
+    found = jaccard_join.similar_documents(ids, size=5, percent=80)
+    gone = common.saved(found.where("n_shingles > 0 and doc_id.row <> component_id.row").select(F.col("doc_id.row").alias("_row")))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

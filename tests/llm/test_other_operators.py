@@ -130,6 +130,33 @@ def test_components(spark):
     assert got == root
 
 
+def test_near_duplicate_rows(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(6)
+    w = ["".join(r.choices("abcdefgh", k=5)) for _ in range(300)]
+    texts = [r.choices(w, k=60) for _ in range(12)]
+    rows = [(r.choice([None, *range(8)]), " ".join([*t[:k], "other", *t[k + 1 :]] if (k := r.choice([-1, 58, 59])) > 0 else t), "en", "a", 1) for t in r.choices(texts, k=60)]
+    rows += [(None, "null and alone", "en", "a", 1), (None, None, "en", "a", 1), (None, " ", "en", "a", 1), (3, "", "en", "a", 1), (3, "", "en", "a", 1), (3, "three and alone", "en", "a", 1), (None, "only null copies", "en", "a", 1), (None, "only null copies", "en", "a", 1)]
+    sets = [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} if (x := (t or "").split()) else set() for _, t, *_ in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, j in itertools.combinations(range(len(rows)), 2):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[i] = root[j] = min(root[i], root[j])
+    want = [(None if root[i] != i else min((rows[j][0] for j in range(len(rows)) if root[j] == i), key=lambda x: (x is None, x or 0)), root[i]) for i in range(len(rows))]
+    want = sorted([(a, i) for i, (a, k) in enumerate(want) if k == i], key=repr)
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = p.near_duplicate_stage(spark, d.repartition(5), SF)
+    assert kept.columns == d.columns
+    part = {}
+    for i, x in enumerate(rows):
+        part.setdefault((x[0], x[1]), root[i] if sets[i] else "none")
+    got = [(x.doc_id, part[x.doc_id, x.text]) for x in kept.collect()]
+    assert sorted((x for x in got if x[1] != "none"), key=repr) == [(a, i) for a, i in want if sets[i]]
+    assert len([x for x in got if x[1] == "none"]) == sum(not x for x in sets)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
