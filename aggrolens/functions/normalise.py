@@ -23,8 +23,9 @@ SEPARATED = re.compile(r"(?<!\w)\w(?:[\W_]{1,4}\w){2,}(?!\w)")
 TOKEN = re.compile(r"\S+")
 
 
-def harsh_words() -> list[str]:
-    return sorted(w for w, x in v.LEXICON.items() if x <= -2 and len(w) >= 4)
+@lru_cache(1)
+def harsh_words() -> tuple[str, ...]:
+    return tuple(sorted(w for w, x in v.LEXICON.items() if x <= -2 and len(w) >= 4))
 
 
 def variants(word: str) -> set[str]:
@@ -80,6 +81,7 @@ def recovered(token: str) -> str | None:
     return next(iter(hits)) if len(hits) == 1 else None
 
 
+@lru_cache(1 << 16)
 def _replaced(token: str) -> str:
     word = recovered(token)
     if word is None:

@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 @query()
 def normalize_text(spark, sf):
     d = table(spark, sf, "documents").where("text is not null")
-    return d.select("doc_id", n.normalise(t.first_words(F.col("text"))).alias("text"))
+    return d.select("doc_id", n.normalise(F.col("text")).alias("text"))
 
 
 @query()
@@ -46,7 +46,7 @@ def recovery_index(spark, sf):
 @query()
 def mask_segments(spark, sf):
     d = table(spark, sf, "documents").where(s.listed(F.col("text"), v.BLOCKLIST) & s.listed(F.col("text"), v.WHITELIST))
-    m = d.select("doc_id", n.mask_segments(t.first_words(F.col("text")), v.WHITELIST).alias("segments"))
+    m = d.select("doc_id", n.mask_segments(F.col("text"), v.WHITELIST).alias("segments"))
     return m.withColumn("masked", F.array_join(F.transform("segments", lambda x: F.when(x["visible"], x["text"]).otherwise(F.regexp_replace(x["text"], r"\S", "*"))), "")).select("doc_id", "masked", F.size("segments").alias("n_segments"))
 
 

@@ -80,6 +80,17 @@ def test_plain_words_stay(text):
     assert n.normalised(text) == text
 
 
+def test_whole_texts(spark, tmp_path):
+    from aggrolens.plans import QUERIES
+
+    long = "word " * 150
+    d = spark.createDataFrame([(1, f"{long}you st*pid scum, IDIOT clown")], "doc_id long, text string")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["normalize_text"](spark, str(tmp_path)).first().text == f"{long}you stupid scum, IDIOT clown"
+    r = QUERIES["mask_segments"](spark, str(tmp_path)).first()
+    assert r.masked == "**** " * 150 + "*** ****** ***** IDIOT clown" and r.n_segments == 4
+
+
 def test_segments():
     assert n.segments("you are ugly super", ["super"]) == [("you are ugly ", False), ("super", True)]
     assert n.segments("AbaB", ["ab", "ba"]) == [("AbaB", True)]
