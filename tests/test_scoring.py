@@ -144,3 +144,11 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_vocabularies_are_clean():
     assert not set(v.NEGATORS) & set(v.LEXICON) and all(w == w.lower() for w in v.STOP_WORDS)
+
+
+def test_streamed_page_alerts_equal_batch(spark):
+    from aggrolens.plans import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    batch = sorted(map(tuple, QUERIES["page_alerts"](spark, sf).collect()))
+    assert batch and sorted(map(tuple, QUERIES["stream_page_alerts"](spark, sf).collect())) == batch
