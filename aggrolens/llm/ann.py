@@ -16,6 +16,8 @@ from .vectors import distinct_vectors, group_pieces, keyed, matrix
 
 #: Index rows of a block.
 BLOCK = 2048
+#: More than a matrix product's cosines are off by.
+SLACK = 1e-12
 
 
 def curve_keys(v: np.ndarray, curves: int, axes: int, bits: int, seed: int) -> np.ndarray:
@@ -31,6 +33,22 @@ def curve_keys(v: np.ndarray, curves: int, axes: int, bits: int, seed: int) -> n
     return out
 
 
+def best_pairs(q: np.ndarray, index: np.ndarray, norms: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, entry, cosine) of each query's n best entries, ties to the smaller id. What can be among them by a matrix product is scored pair by pair, so that equal cosines come out equal."""
+    own = np.sqrt((q * q).sum(axis=1))
+    rough = q @ index.T / (own[:, None] * norms)
+    least = np.partition(rough, len(ids) - n, axis=1)[:, len(ids) - n]
+    of, entry = np.nonzero(rough >= least[:, None] - SLACK)
+    score = np.empty(len(of))
+    for at in range(0, len(of), 8192):
+        a, b = of[at : at + 8192], entry[at : at + 8192]
+        score[at : at + 8192] = (q[a] * index[b]).sum(axis=1) / (own[a] * norms[b])
+    order = np.lexsort((ids[entry], -score, of))
+    of, entry, score = of[order], entry[order], score[order]
+    best = np.arange(len(of)) - np.searchsorted(of, of) < n
+    return of[best], entry[best], score[best]
+
+
 def nearest(rows: DataFrame, is_query: Column, k: int = 5, curves: int = 12, axes: int = 4, bits: int = 8, window: float = 0.12, seed: int = 9) -> DataFrame:
     """The k nearest found of each query by cosine, over all other rows.
 
@@ -47,7 +65,11 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, curves: int = 12, axe
     candidates, all are returned.
     """
     k_rows = keyed(rows)
-    reps = saved(distinct_vectors(k_rows, k + 1).withColumn("rid", F.monotonically_increasing_id()).withColumn("dim", F.size("v")))
+    n_ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rids in the order of the entries' smallest ids, so that ties go by rid
+    by_id = [F.get("ids", F.lit(0)).asc_nulls_last(), F.col("k1").asc(), F.col("k2").asc()]
+    reps = distinct_vectors(k_rows, k + 1).repartitionByRange(n_ranges, *by_id).sortWithinPartitions(*by_id)
+    reps = saved(reps.withColumn("rid", F.monotonically_increasing_id()).withColumn("dim", F.size("v")))
     total = reps.count()
     asked = saved(keyed(rows.where(is_query)).where("ok").select(F.col("vec_id").alias("query_id"), "k1", "k2").distinct().join(reps.select("k1", "k2", "rid"), ["k1", "k2"]).select("query_id", "rid"))
 
@@ -59,7 +81,6 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, curves: int = 12, axe
                 found = curve_keys(matrix(x.column("v")), curves, axes, bits, seed)
                 yield pa.RecordBatch.from_arrays([x.column("rid"), x.column("dim"), pa.array(list(found), pa.list_(pa.int64()))], ["rid", "dim", "keys"])
 
-    n_ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     on = reps.select("rid", "dim", "v").mapInArrow(keys, "rid long, dim int, keys array<long>").select("rid", "dim", F.posexplode("keys").alias("curve", "key"))
     order = ["dim", "curve", "key", "rid"]
     on = saved(on.repartitionByRange(n_ranges, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
@@ -94,10 +115,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, curves: int = 12, axe
             for at in range(0, piece.num_rows, 1024):
                 p = piece.slice(at, 1024)
                 q, rid = matrix(p.column("v")), p.column("rid").to_numpy()
-                score = q @ index.T / (np.sqrt((q * q).sum(axis=1))[:, None] * norms)
-                n = min(k + 1, len(ids))
-                top = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rid, n)), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(score, top, 1).ravel())], ["rid", "found", "score"])
+                of, entry, score = best_pairs(q, index, norms, ids, min(k + 1, len(ids)))
+                yield pa.RecordBatch.from_arrays([pa.array(rid[of]), pa.array(ids[entry]), pa.array(score)], ["rid", "found", "score"])
 
     hits = both.mapInArrow(best, "rid long, found long, score double").groupBy("rid", "found").agg(F.max("score").alias("score"))
     top = F.row_number().over(W.partitionBy("rid").orderBy(F.desc("score"), "found"))

@@ -118,6 +118,23 @@ def test_neighbours(spark, vectors, monkeypatch):
     assert ann.nearest(few, F.col("vec_id") == 0).count() == 2 and ann.nearest(few.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("block,window", [(2048, 0.12), (8, 2.0)])
+def test_neighbours_of_ties(spark, monkeypatch, block, window):
+    monkeypatch.setattr(ann, "BLOCK", block)
+    base = np.random.default_rng(4).standard_normal(24)
+    ids = random.Random(4).sample(range(1000), 64)
+    v = [list(map(float, base * 2.0 ** (i - 20))) for i in range(40)] + [[float(i == j) for j in range(24)] for i in range(24)]
+    d = spark.createDataFrame(list(zip(ids, v, strict=True)) + [(None, [float(x) for x in base * 2.0**30])], "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in ann.nearest(d, F.col("vec_id").isNotNull(), window=window).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    for k, i in enumerate(ids[:40]):
+        assert [got[i][x] for x in range(1, 6)] == sorted(set(ids[:40]) - {i})[:5], k
+    for k, i in enumerate(ids[40:]):
+        near = sorted(((-base[k] / np.linalg.norm(base), j) for j in ids[:40]) if base[k] > 0 else ((0.0, j) for j in ids[40:] if j != i))
+        assert [got[i][x] for x in range(1, 6)] == [j for _, j in near][:5], k
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, x) for x in range(4000, 4100)] + [(7, 7), (None, 3)]
