@@ -14,63 +14,72 @@ from .common import saved
 from .hilbert import hilbert_keys
 from .vectors import distinct_vectors, group_pieces, keyed, matrix
 
-#: Index rows of a block.
-BLOCK = 2048
-#: More than a matrix product's cosines are off by.
-SLACK = 1e-12
+#: More than rounding adds to the bounds.
+SLACK = 1e-9
 
 
-def curve_keys(v: np.ndarray, curves: int, axes: int, bits: int, seed: int) -> np.ndarray:
-    """Hilbert keys of each vector (rows) on each curve (columns): random projections of its direction, shifted by up to half the grid."""
-    rng = np.random.Generator(np.random.PCG64([seed, v.shape[1]]))
-    u = v / np.linalg.norm(v, axis=1, keepdims=True) * np.sqrt(v.shape[1])
-    out = np.empty((len(v), curves), np.int64)
+def directions(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def curve_keys(u: np.ndarray, curves: int, axes: int, bits: int, seed: int) -> np.ndarray:
+    """Hilbert keys of each direction (rows) on each curve (columns): projections on axes of random rotations, shifted by up to half the grid."""
+    dims = u.shape[1]
+    rng = np.random.Generator(np.random.PCG64([seed, dims]))
+    axes = min(axes, dims)
+    out, unused = np.empty((len(u), curves), np.int64), []
     for c in range(curves):
-        r = rng.standard_normal((v.shape[1], axes))
-        p = u @ (r / np.linalg.norm(r, axis=0))
-        at = (np.clip((p + 4) / 8, 0, 0.999999) + rng.random(axes)) / 2
+        if len(unused) < axes:
+            unused = list(np.linalg.qr(rng.standard_normal((dims, dims)))[0])
+        p = u @ np.array([unused.pop() for _ in range(axes)]).T * np.sqrt(dims)
+        at = (np.clip((p + 3) / 6, 0, 0.999999) + rng.random(axes)) / 2
         out[:, c] = hilbert_keys((at * (1 << bits)).astype(np.int64), bits)
     return out
 
 
-def best_pairs(q: np.ndarray, index: np.ndarray, norms: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, entry, cosine) of each query's n best entries, ties to the smaller id. What can be among them by a matrix product is scored pair by pair, so that equal cosines come out equal."""
-    own = np.sqrt((q * q).sum(axis=1))
-    rough = q @ index.T / (own[:, None] * norms)
-    least = np.partition(rough, len(ids) - n, axis=1)[:, len(ids) - n]
-    of, entry = np.nonzero(rough >= least[:, None] - SLACK)
-    score = np.empty(len(of))
-    for at in range(0, len(of), 8192):
-        a, b = of[at : at + 8192], entry[at : at + 8192]
-        score[at : at + 8192] = (q[a] * index[b]).sum(axis=1) / (own[a] * norms[b])
-    order = np.lexsort((ids[entry], -score, of))
-    of, entry, score = of[order], entry[order], score[order]
-    best = np.arange(len(of)) - np.searchsorted(of, of) < n
-    return of[best], entry[best], score[best]
+def small_codes(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directions as bytes, and what a step of each row's bytes stands for."""
+    step = np.abs(u).max(axis=1) / 127
+    return np.rint(u / step[:, None]).astype(np.int8), step
+
+
+def bounded_cosines(q: np.ndarray, q_step: np.ndarray, x: np.ndarray, x_step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines of coded rows with coded rows, and how far off each can be."""
+    kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
+    rough = (q.astype(kind) @ x.T.astype(kind)).astype(float) * (q_step[:, None] * x_step)
+    off = np.sqrt(q.shape[1]) / 2
+    a, b = off * q_step[:, None], off * x_step
+    return rough, a + b + a * b + SLACK
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 5, curves: int = 12, axes: int = 4, bits: int = 8, window: float = 0.12, seed: int = 9) -> DataFrame:
+def exact_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row in double precision, each row for itself. Powers of two that bring the largest components to about 1 are taken out first, which rounds nothing."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) for x in (a, b))
+    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+
+
+def nearest(rows: DataFrame, is_query: Column, k: int = 5, curves: int = 48, axes: int = 10, bits: int = 6, block: int = 256, reach: int = 1, seed: int = 9) -> DataFrame:
     """The k nearest found of each query by cosine, over all other rows.
 
     Different vectors are ordered along each curve by a range exchange; with the counts of the
-    ranges every one has a rank, and blocks of 2048 ranks. A query looks at the blocks within half
-    a `window` (share of the index, one block each way at least) of its own. A task holds one block
-    and streams the queries past it; the best of all curves merge. Nothing but the k + 1 best per
-    query and block is shuffled on. Equal vectors are one entry with its k + 1 smallest ids.
+    ranges every one has a rank, and blocks of `block` ranks. A query looks at its own block and at
+    `reach` blocks each way, so at (2 * reach + 1) * block entries of a curve whatever the size of the
+    index: its cost is linear in the queries. A task holds one block of vectors coded in bytes and
+    streams the coded queries past it; the coded cosines are bounded, and only entries that can be
+    among the k + 1 best go on. All curves' finds merge, and the original vectors of those that can
+    still be among the best rerank them. Equal vectors are one entry with its k + 1 smallest ids.
 
     Returns query_id, rank, vec_id, score: nearest first, ties to the smaller vec_id; cosines in
     double precision on the original vectors. Vectors that are null, zero or hold null or
     non-finite components take no part, nor do queries among them; vectors of different lengths don't compare. A row with the query's vec_id is its own; a
     repeated query row counts once. Candidates without a vec_id come last among ties. With fewer
-    candidates, all are returned.
+    candidates, all are returned as long as a window holds them.
     """
     k_rows = keyed(rows)
     n_ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # rids in the order of the entries' smallest ids, so that ties go by rid
-    by_id = [F.get("ids", F.lit(0)).asc_nulls_last(), F.col("k1").asc(), F.col("k2").asc()]
-    reps = distinct_vectors(k_rows, k + 1).repartitionByRange(n_ranges, *by_id).sortWithinPartitions(*by_id)
-    reps = saved(reps.withColumn("rid", F.monotonically_increasing_id()).withColumn("dim", F.size("v")))
-    total = reps.count()
+    reps = saved(distinct_vectors(k_rows, k + 1).withColumn("rid", F.monotonically_increasing_id()).withColumn("dim", F.size("v")))
     asked = saved(keyed(rows.where(is_query)).where("ok").select(F.col("vec_id").alias("query_id"), "k1", "k2").distinct().join(reps.select("k1", "k2", "rid"), ["k1", "k2"]).select("query_id", "rid"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,49 +87,66 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, curves: int = 12, axe
             dims = b.column("dim").to_numpy()
             for d in np.unique(dims):
                 x = b.filter(pa.array(dims == d))
-                found = curve_keys(matrix(x.column("v")), curves, axes, bits, seed)
-                yield pa.RecordBatch.from_arrays([x.column("rid"), x.column("dim"), pa.array(list(found), pa.list_(pa.int64()))], ["rid", "dim", "keys"])
+                u = directions(matrix(x.column("v")))
+                codes, step = small_codes(u)
+                found = curve_keys(u, curves, axes, bits, seed)
+                yield pa.RecordBatch.from_arrays([x.column("rid"), x.column("dim"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(step), pa.array(list(found), pa.list_(pa.int64()))], ["rid", "dim", "code", "step", "keys"])
 
-    on = reps.select("rid", "dim", "v").mapInArrow(keys, "rid long, dim int, keys array<long>").select("rid", "dim", F.posexplode("keys").alias("curve", "key"))
+    coded = saved(reps.select("rid", "dim", "v").mapInArrow(keys, "rid long, dim int, code binary, step double, keys array<long>"))
+    on = coded.select("rid", "dim", F.posexplode("keys").alias("curve", "key"))
     order = ["dim", "curve", "key", "rid"]
-    on = saved(on.repartitionByRange(n_ranges, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    on = saved(on.repartitionByRange(n_ranges, *order).sortWithinPartitions(*order).drop("key").withColumn("place", F.monotonically_increasing_id()))
     on = on.withColumn("range", F.shiftright("place", 33))
     ranges = on.groupBy("dim", "curve", "range").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     before = W.partitionBy("dim", "curve").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ranges = saved(ranges.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0))))
-    block = F.expr(f"(at + place - first) div {BLOCK}")
-    on = on.join(ranges, ["dim", "curve", "range"]).select("dim", "curve", block.alias("block"), "rid")
+    on = on.join(ranges, ["dim", "curve", "range"]).select("dim", "curve", F.expr(f"(at + place - first) div {block}").alias("block"), "rid")
 
-    reach = max(1, -(-round(total * window / 2) // BLOCK))
-    last = F.ceil(F.lit(total) / BLOCK)
-    spots = F.sequence(F.greatest(F.lit(0), F.col("block") - reach), F.least(last, F.col("block") + reach))
+    spots = F.sequence(F.greatest(F.lit(0), F.col("block") - reach), F.col("block") + reach)
     queries = on.join(asked.select("rid").distinct(), "rid", "left_semi").select("dim", "curve", F.explode(spots).alias("block"), F.lit(1).alias("query"), "rid")
-    both = on.select("dim", "curve", "block", F.lit(0).alias("query"), "rid").union(queries).join(reps.select("rid", "v"), "rid")
+    both = on.select("dim", "curve", "block", F.lit(0).alias("query"), "rid").union(queries).join(coded.select("rid", "code", "step"), "rid")
     key = ["dim", "curve", "block", "query"]
-    both = both.select(*key, "rid", "v").repartition("dim", "curve", "block").sortWithinPartitions(*key)
+    both = both.select(*key, "rid", "code", "step").repartition("dim", "curve", "block").sortWithinPartitions(*key)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held, index, ids = None, [], None, None
-        for (dim, curve, b, query), piece in group_pieces(batches, 4):
-            if (dim, curve, b) != here:
-                here, held, index = (dim, curve, b), [], None
+        def read(x: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            return np.frombuffer(b"".join(x.column("code").to_pylist()), np.int8).reshape(x.num_rows, -1), x.column("step").to_numpy(), x.column("rid").to_numpy()
+
+        here, held, index = None, [], None
+        for (dim, curve, at, query), piece in group_pieces(batches, 4):
+            if (dim, curve, at) != here:
+                here, held, index = (dim, curve, at), [], None
             if not query:
-                held.append(piece)
+                held.append(read(piece))
                 continue
-            if index is None:
-                if not held:
-                    continue
-                index, ids = np.concatenate([matrix(x.column("v")) for x in held]), np.concatenate([x.column("rid").to_numpy() for x in held])
-                norms = np.sqrt((index * index).sum(axis=1))
-            for at in range(0, piece.num_rows, 1024):
-                p = piece.slice(at, 1024)
-                q, rid = matrix(p.column("v")), p.column("rid").to_numpy()
-                of, entry, score = best_pairs(q, index, norms, ids, min(k + 1, len(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(rid[of]), pa.array(ids[entry]), pa.array(score)], ["rid", "found", "score"])
-
-    hits = both.mapInArrow(best, "rid long, found long, score double").groupBy("rid", "found").agg(F.max("score").alias("score"))
-    top = F.row_number().over(W.partitionBy("rid").orderBy(F.desc("score"), "found"))
-    hits = hits.withColumn("r", top).where(F.col("r") <= k + 1).drop("r").join(reps.select(F.col("rid").alias("found"), F.explode("ids").alias("vec_id")), "found")
+            if not held:
+                continue
+            index = index or tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            codes, step, ids = index
+            q, q_step, rid = read(piece)
+            rough, off = bounded_cosines(q, q_step, codes, step)
+            n = min(k + 1, len(ids))
+            floor = np.partition(rough - off, len(ids) - n, axis=1)[:, len(ids) - n]
+            of, entry = np.nonzero(rough + off >= floor[:, None])
+            r, o = rough[of, entry], off[of, entry]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[of]), pa.array(ids[entry]), pa.array(r - o), pa.array(r + o)], ["rid", "found", "least", "most"])
+
+    hits = both.mapInArrow(best, "rid long, found long, least double, most double").groupBy("rid", "found").agg(F.max("least").alias("least"), F.max("most").alias("most"))
+    place = F.row_number().over(W.partitionBy("rid").orderBy(F.desc("least")))
+    floor = F.min(F.when(F.col("place") <= k + 1, F.col("least"))).over(W.partitionBy("rid"))
+    hits = saved(hits.withColumn("place", place).withColumn("floor", floor).where("most >= floor").select("rid", "found"))
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column("dim").to_numpy()
+            for d in np.unique(dims):
+                x = b.filter(pa.array(dims == d))
+                yield pa.RecordBatch.from_arrays([x.column("rid"), x.column("found"), pa.array(exact_cosines(matrix(x.column("a")), matrix(x.column("b"))))], ["rid", "found", "score"])
+
+    side = lambda i, v: reps.select(F.col("rid").alias(i), F.col("v").alias(v))
+    pairs = hits.join(side("rid", "a").withColumn("dim", F.size("a")), "rid").join(side("found", "b"), "found")
+    pairs = pairs.select("rid", "found", "dim", "a", "b").mapInArrow(rerank, "rid long, found long, score double")
+    hits = pairs.join(reps.select(F.col("rid").alias("found"), F.explode("ids").alias("vec_id")), "found")
     hits = hits.join(asked, "rid").where(~F.col("vec_id").eqNullSafe(F.col("query_id")))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

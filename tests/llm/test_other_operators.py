@@ -102,9 +102,8 @@ def test_hilbert_is_a_curve():
         assert sorted(k) == list(range(len(g))) and (np.abs(np.diff(g[o], axis=0)).sum(axis=1) == 1).all()
 
 
-def test_neighbours(spark, vectors, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 128)
-    got = ann.nearest(frame(spark, vectors), F.col("vec_id") % 50 == 0).collect()
+def test_neighbours(spark, vectors):
+    got = ann.nearest(frame(spark, vectors), F.col("vec_id") % 50 == 0, block=8).collect()
     ok, s = cosines(vectors)
     hit = total = 0
     for k, i in enumerate(ok):
@@ -118,15 +117,14 @@ def test_neighbours(spark, vectors, monkeypatch):
     assert ann.nearest(few, F.col("vec_id") == 0).count() == 2 and ann.nearest(few.limit(0), F.lit(True)).count() == 0
 
 
-@pytest.mark.parametrize("block,window", [(2048, 0.12), (8, 2.0)])
-def test_neighbours_of_ties(spark, monkeypatch, block, window):
-    monkeypatch.setattr(ann, "BLOCK", block)
+@pytest.mark.parametrize("block,reach", [(256, 1), (8, 20)])
+def test_neighbours_of_ties(spark, block, reach):
     base = np.random.default_rng(4).standard_normal(24)
     ids = random.Random(4).sample(range(1000), 64)
     v = [list(map(float, base * 2.0 ** (i - 20))) for i in range(40)] + [[float(i == j) for j in range(24)] for i in range(24)]
     d = spark.createDataFrame(list(zip(ids, v, strict=True)) + [(None, [float(x) for x in base * 2.0**30])], "vec_id long, embedding array<double>").repartition(5)
     got = {}
-    for r in ann.nearest(d, F.col("vec_id").isNotNull(), window=window).collect():
+    for r in ann.nearest(d, F.col("vec_id").isNotNull(), block=block, reach=reach).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
     for k, i in enumerate(ids[:40]):
         assert [got[i][x] for x in range(1, 6)] == sorted(set(ids[:40]) - {i})[:5], k
