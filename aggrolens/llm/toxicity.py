@@ -129,6 +129,18 @@ def _threshold(score: np.ndarray, y: np.ndarray) -> float:
     return float((s[i] + (s[i + 1] if i + 1 < len(s) else 0)) / 2)
 
 
+def most_frequent(counts: DataFrame, by: str, n: int) -> list[str]:
+    """The n words of the highest counts, ties by word. Only words that reach the count of the n-th are sorted and fetched, not each partition's best."""
+    reach, left = None, n
+    for row in sorted(counts.groupBy(by).agg(F.count("*").alias("words")).collect(), reverse=True):
+        reach, left = row[by], left - row["words"]
+        if left <= 0:
+            break
+    if reach is None:
+        return []
+    return [r["word"] for r in counts.where(F.col(by) >= reach).orderBy(F.desc(by), "word").limit(n).collect()]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, words: int = 3000, least: int = 7, folds: int = 5) -> Model:
     """Learn from labelled documents outside the held-out fold.
 
@@ -137,12 +149,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, words: int = 3
     copies of a document count as one. The toxic dictionary's own part holds the words that at
     least `least` words precede in toxic texts and that are twenty times as frequent there; the
     other dictionary's own part holds as many ordinary words, and both begin with the most common
-    ones. Features of the sample fit a logistic curve and its threshold. Without toxic or ordinary
-    rows every score is 0. Null labels and doc_ids are left out; of contradictory labels the higher counts.
+    ones; each holds at most `words` of them, and training passes over words of more than 64 characters.
+    Features of the sample fit a logistic curve and its threshold. Without toxic or ordinary
+    rows, as with empty tables, every score is 0. Null labels and doc_ids are left out; of contradictory labels the
+    higher counts, of several texts of a doc_id the smallest.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id", folds)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
     picked = [known.where(F.col("toxic") == y).orderBy(F.crc32(F.concat(F.lit("s"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(sample * (3 - 2 * y)) for y in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").where("text is not null")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,8 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, words: int = 3
     totals = counts.agg(F.sum("n1"), F.sum("n0")).first()
     t1, t0 = (max(1, x or 0) for x in totals)
     marked = counts.where(F.col("n1") >= least).where((F.col("n1") + 0.5) / t1 > 20 * (F.col("n0") + 0.5) / t0)
-    toxic = [r["word"] for r in marked.orderBy(F.desc("n1"), "word").limit(words).collect()][::-1]
-    common = [r["word"] for r in counts.where(F.col("n0") > 0).orderBy(F.desc("n0"), "word").limit(COMMON + words).collect()]
+    toxic = most_frequent(marked, "n1", words)[::-1]
+    common = most_frequent(counts.where("n0 > 0"), "n0", COMMON + words)
     counts.unpersist()
     model = Model(common[:COMMON][::-1], toxic, common[COMMON:][: len(toxic)][::-1])
     if not toxic:
