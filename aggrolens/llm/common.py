@@ -64,6 +64,18 @@ def forget(*tables: DataFrame) -> None:
         remove(t.sparkSession, t._saved_at)
 
 
+def most_frequent(counts: DataFrame, key: str, by: str, n: int) -> list:
+    """The n keys of the highest counts, ties by key. Only keys that reach the count of the n-th are sorted and fetched, not each partition's best."""
+    reach, left = None, n
+    for row in sorted(counts.groupBy(by).agg(F.count("*").alias("keys")).collect(), reverse=True):
+        reach, left = row[by], left - row["keys"]
+        if left <= 0:
+            break
+    if reach is None:
+        return []
+    return [r[key] for r in counts.where(F.col(by) >= reach).orderBy(F.desc(by), key).limit(n).collect()]
+
+
 # --- bytes of many texts at once ------------------------------------------------------------
 
 _rng = np.random.Generator(np.random.PCG64(20240607))

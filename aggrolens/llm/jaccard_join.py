@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forget, saved, text_bytes
+from .common import connected_components, forget, most_frequent, saved, text_bytes
 from .shingles import shingle_sets
 
 #: Longs of a set's parity bitmap.
@@ -19,8 +19,12 @@ LONGS = 4
 PIVOTS = 8
 #: Identifiers broadcast at most.
 SENT = 200_000
-#: Common shingles broadcast at most.
+#: Common shingles sent to the tasks at most.
 COMMON = 100_000
+#: Groups that may share a prefix shingle before it is put last in the order of sets, and rounds of that.
+HOT, ROUNDS = 256, 3
+#: Groups of a block of a bucket.
+BLOCK = 64
 
 
 def parity(u: np.ndarray) -> np.ndarray:
@@ -30,10 +34,7 @@ def parity(u: np.ndarray) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame, size: int, least: int = 12) -> list[int]:
-    """Shingles that many documents share: those that `least` different texts of a batch hold, at most 100,000.
-
-    They only come last in the order of a set, which speeds the join up and changes no result.
-    """
+    """Shingles that `least` different texts of some batch hold, the most frequent first, at most 100,000."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -42,8 +43,8 @@ def common_shingles(docs: DataFrame, size: int, least: int = 12) -> list[int]:
             h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, int))
             yield pa.RecordBatch.from_arrays([pa.array(h[n >= least].view(np.int64)), pa.array(n[n >= least])], ["h", "n"])
 
-    found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return [r["h"] for r in found.orderBy(F.desc("n"), "h").limit(COMMON).collect()]
+    found = saved(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    return most_frequent(found, "h", "n", COMMON)
 
 
 def described(docs: DataFrame, size: int, percent: int, common: list[int]) -> DataFrame:
@@ -144,6 +145,46 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return p.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def grouped(docs: DataFrame, size: int, percent: int, common: list[int]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, sets, groups, tokens, shared), all saved: of each document its set's size and digest; each different set with its
+    group g; each group's size, members and the bits they agree on; each group's prefix shingles; and the shingles that several groups have, with how many."""
+    whole = saved(described(docs, size, percent, common))
+    key = ["s1", "s2"]
+    r = whole.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", *BITS)])
+    r = r.withColumn("rep", F.col("least.doc_id")).withColumn("t", F.col("least.t")).drop("least").withColumn("g1", F.xxhash64("prefix", "n")).withColumn("g2", F.xxhash64(F.lit(3), F.reverse("prefix"), "n"))
+    full = saved(r.withColumn("sid", F.monotonically_increasing_id()))
+    d = saved(whole.select("doc_id", "n", "s1", "s2"))
+    forget(whole)
+    agreed = [f(b).alias(f"{k}{i}") for k, f in (("a", F.bit_and), ("o", F.bit_or)) for i, b in enumerate(BITS)]
+    named = saved(full.groupBy("g1", "g2", "n").agg(F.first("prefix").alias("prefix"), F.count("*").alias("m"), *agreed).withColumn("g", F.monotonically_increasing_id()))
+    r = saved(full.drop("prefix").join(named.select("g1", "g2", "n", "g"), ["g1", "g2", "n"]).drop("g1", "g2"))
+    tokens = saved(named.select("g", F.explode("prefix").alias("token")))
+    groups = saved(named.drop("g1", "g2", "prefix"))
+    shared = saved(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
+    forget(full, named)
+    return d, r, groups, tokens, shared
+
+
+def paired(left: DataFrame, right: DataFrame, on: list[str], percent: int, more: Column | None = None) -> DataFrame:
+    """p < q: groups of left and right that meet in a bucket and can match."""
+    same = F.lit(True) if more is None else more
+    for c in on:
+        same = (F.col(f"x.{c}") == F.col(f"y.{c}")) & same
+    differ = F.col("x.g") < F.col("y.g") if left is right else F.col("x.g") != F.col("y.g")
+    met = left.alias("x").join(right.alias("y"), same & differ & can_match("x", "y", percent))
+    return met.select(F.least("x.g", "y.g").alias("p"), F.greatest("x.g", "y.g").alias("q")).distinct()
+
+
+def paired_in_blocks(big: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups of one bucket (token, g, lo, hi) that are not in one component already. Buckets are cut into blocks of about 64 groups, and each pair of blocks is a bucket of its own."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    b = big.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
+    left = b.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    right = b.withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("other"))))
+    apart = ~((F.col("x.lo") == F.col("y.hi")) & (F.col("x.hi") == F.col("y.lo")))
+    return paired(left, right, ["token", "block", "other"], percent, apart)
+
+
 def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """Documents linked by a Jaccard similarity of at least percent / 100 of their shingle sets, and their components.
 
@@ -151,35 +192,33 @@ def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> Data
     joined with the others' once, and a pair of groups passes if sizes and parity bits (a lower
     bound of the difference) allow it. Pairs of groups expand to pairs of sets, filtered likewise, and these are
     verified on the texts themselves. What is wanted are components, so pairs within one already
-    known are not looked at again: a large bucket is first compared with eight pivots, of the pairs that
-    pass a bitmap of 8192 bits each set's closest is verified first, and then those between different components are, all of them.
+    known are not looked at again: the groups of a bucket of over 16 are first joined with its eight pivots, of the pairs that
+    pass a bitmap of 8192 bits each set's closest is verified first, and then those between different components are, all of them;
+    a bucket that is not one component by then is cut into blocks of about 64 groups whose pairs spread over tasks.
     No link between different components is lost, and no bucket's pairs are all sent on.
-    Shingles common to many documents come last in the order that prefixes follow.
+    Shingles common to many documents come last in the order that prefixes follow: those that a
+    dozen texts of one batch share, then those that over 256 groups have in their prefixes, for up to three rounds. That changes no result.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable). Words: runs without ASCII white
     space, A-Z in lower case; texts with fewer words than `size` are one shingle; null, empty and
     blank texts have none and link with nothing. Repeated rows link with each other. Null
     doc_ids are left out of the smallest where another exists. Other columns are not read; an empty table gives none.
     """
-    d = saved(described(docs, size, percent, common_shingles(docs, size)))
     key = ["s1", "s2"]
-    r = d.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", *BITS)])
-    r = r.withColumn("rep", F.col("least.doc_id")).withColumn("t", F.col("least.t")).drop("least").withColumn("g", F.xxhash64("prefix", "n"))
-    r = saved(r.withColumn("sid", F.monotonically_increasing_id()))
-    whole, d = d, saved(d.select("doc_id", "n", "s1", "s2"))
-    forget(whole)
-    groups = r.groupBy("g", "n").agg(F.first("prefix").alias("prefix"), F.count("*").alias("m"), *[f(b).alias(f"{k}{i}") for k, f in (("a", F.bit_and), ("o", F.bit_or)) for i, b in enumerate(BITS)])
-    groups = saved(groups)
-    full, r = r, saved(r.drop("prefix"))
-    forget(full)
-    tokens = groups.select("g", F.explode("prefix").alias("token"))
-    shared = saved(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
-    filed = saved(tokens.join(shared, "token").join(groups.drop("prefix", "m"), "g"))
-    x, y = filed.alias("x"), filed.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") == F.col("y.c")) & (F.col("x.g") < F.col("y.g")) & can_match("x", "y", percent) & ((F.col("x.c") <= 2 * PIVOTS) | (F.pmod(F.xxhash64("x.g", "x.token"), "x.c") < PIVOTS) | (F.pmod(F.xxhash64("y.g", "x.token"), "x.c") < PIVOTS)))
-    met = met.select(F.col("x.g").alias("p"), F.col("y.g").alias("q")).distinct()
+    common = common_shingles(docs, size)
+    for again in range(ROUNDS, -1, -1):
+        d, r, groups, tokens, shared = grouped(docs, size, percent, common)
+        hot = set(most_frequent(shared.where(F.col("c") > HOT), "token", "c", COMMON)) - set(common) if again else set()
+        if not hot or len(common) >= COMMON:
+            break
+        common = [*common, *sorted(hot)][:COMMON]
+        forget(d, r, groups, tokens, shared)
+    filed = saved(tokens.join(shared, "token").join(groups.drop("m"), "g"))
+    few, many = filed.where(F.col("c") <= 2 * PIVOTS), filed.where(F.col("c") > 2 * PIVOTS)
+    pivot = many.where(F.pmod(F.xxhash64("g", "token"), "c") < PIVOTS)
+    met = paired(few, few, ["token"], percent).union(paired(pivot, many, ["token"], percent)).distinct()
     own = saved(groups.where("m > 1").select(F.col("g").alias("p"), F.col("g").alias("q")))
-    forget(groups, shared)
+    forget(groups, shared, tokens)
 
     member = r.select("g", "sid", "n", *[F.col(b).alias(f"{k}{i}") for k in "ao" for i, b in enumerate(BITS)])
 
@@ -215,10 +254,9 @@ def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> Data
 
     of_group = r.select("g", "sid").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     of_group = saved(of_group.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
-    big = filed.where(F.col("c") > 2 * PIVOTS).join(of_group, "g")
-    x, y = big.alias("x"), big.alias("y")
-    apart = ~((F.col("x.lo") == F.col("y.hi")) & (F.col("x.hi") == F.col("y.lo")))
-    met2 = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & (F.col("x.c") == F.col("y.c")) & apart & can_match("x", "y", percent)).select(F.col("x.g").alias("p"), F.col("y.g").alias("q")).distinct()
+    big = many.join(of_group, "g")
+    open_ = big.groupBy("token").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("token")
+    met2 = paired_in_blocks(big.join(open_, "token"), percent).distinct()
     late = saved(between(expanded(met2).join(tried, ["a", "b"], "left_anti"), comp))
     if late.take(1):
         texts = saved(texts_of(docs, wanted(late)))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import most_frequent
+
 WORD = re.compile(r"\w+")
 #: Set off each word, in dictionaries and in windows, so that a match can span a short word whole. These bytes occur in no UTF-8 text.
 START, END = b"\xff", bytes([0xF8, 0xF9, 0xFA, 0xFB, 0xFC, 0xFD, 0xFE, 0xC0, 0xF8, 0xFA, 0xFC, 0xFE, 0xF9, 0xFB, 0xFD, 0xC1])
@@ -129,18 +131,6 @@ def _threshold(score: np.ndarray, y: np.ndarray) -> float:
     return float((s[i] + (s[i + 1] if i + 1 < len(s) else 0)) / 2)
 
 
-def most_frequent(counts: DataFrame, by: str, n: int) -> list[str]:
-    """The n words of the highest counts, ties by word. Only words that reach the count of the n-th are sorted and fetched, not each partition's best."""
-    reach, left = None, n
-    for row in sorted(counts.groupBy(by).agg(F.count("*").alias("words")).collect(), reverse=True):
-        reach, left = row[by], left - row["words"]
-        if left <= 0:
-            break
-    if reach is None:
-        return []
-    return [r["word"] for r in counts.where(F.col(by) >= reach).orderBy(F.desc(by), "word").limit(n).collect()]
-
-
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, words: int = 3000, least: int = 7, folds: int = 5) -> Model:
     """Learn from labelled documents outside the held-out fold.
 
@@ -172,8 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, words: int = 3
     totals = counts.agg(F.sum("n1"), F.sum("n0")).first()
     t1, t0 = (max(1, x or 0) for x in totals)
     marked = counts.where(F.col("n1") >= least).where((F.col("n1") + 0.5) / t1 > 20 * (F.col("n0") + 0.5) / t0)
-    toxic = most_frequent(marked, "n1", words)[::-1]
-    common = most_frequent(counts.where("n0 > 0"), "n0", COMMON + words)
+    toxic = most_frequent(marked, "word", "n1", words)[::-1]
+    common = most_frequent(counts.where("n0 > 0"), "word", "n0", COMMON + words)
     counts.unpersist()
     model = Model(common[:COMMON][::-1], toxic, common[COMMON:][: len(toxic)][::-1])
     if not toxic:
