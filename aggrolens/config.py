@@ -14,7 +14,7 @@ class Config:
     max_words: int = 128
     language_ratio: float = 0.15
     negation_window: int = 3
-    nb_negation_pull: float = 0.75
+    nb_negation_kept: float = 0.75
     negation_scalar: float = -0.74
     caps_step: float = 0.733
     far_booster: float = 0.95

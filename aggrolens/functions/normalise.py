@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -14,101 +14,173 @@ from pyspark.sql import functions as F
 
 from . import vocab as v
 
-# Look-alike characters and the letters that they stand for; marks that hide a letter.
-LOOKS = {"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t", "8": "b", "9": "g", "а": "a", "е": "e", "і": "i", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x"}
+# Look-alike characters and the letters that they stand for, in disguised words and between separators; marks that hide a letter; characters that show nothing.
+LOOKS = {"0": "o", "1": "i", "!": "i", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "8": "b", "\u0430": "a", "\u0435": "e", "\u0456": "i", "\u043e": "o", "\u0455": "s", "\u0442": "t", "\u03c5": "u", "\u0441": "c", "\u0440": "p", "\u0445": "x", "\u0443": "y"}
 HIDERS = "*#_"
-INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]")
-
-SEPARATED = re.compile(r"(?<!\w)\w(?:[\W_]{1,4}\w){2,}(?!\w)")
-TOKEN = re.compile(r"\S+")
+INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]")
+#: A letter or digit, and no letter or digit before or after.
+SIGN = r"[^\W_]"
+START, END = rf"(?<!{SIGN})", rf"(?!{SIGN})"
+MARK = re.compile("[\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u064b-\u065f\u0900-\u0903\u093a-\u094f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+MARKED = re.compile(rf"\w+(?:{MARK.pattern}\w*)+")
+DISGUISED = re.compile(rf"{START}{SIGN}[\w!*#@$]{{1,38}}{SIGN}{END}")
+PLAIN = re.compile(rf"{START}[a-z][a-z*#_]{{2,18}}[a-z]{END}", re.I)
+REPEATED = re.compile(r"([a-z])\1+")
+HARSH = -2.0
 
 
 @lru_cache(1)
 def harsh_words() -> tuple[str, ...]:
-    return tuple(sorted(w for w, x in v.LEXICON.items() if x <= -2 and len(w) >= 4))
+    """Words that disguises are recovered to, the longest first."""
+    return tuple(sorted((w for w, x in v.LEXICON.items() if x <= HARSH and len(w) >= 4), key=lambda w: (-len(w), w)))
 
 
 def variants(word: str) -> set[str]:
-    """Spellings that a slip or a dodge makes of a word: neighbours swapped, an inner letter left out, its vowels left out."""
-    swapped = {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(1, len(word) - 1)}
-    short = {word[:i] + word[i + 1 :] for i in range(1, len(word) - 1)} if len(word) > 4 else set()
-    bare = word[0] + re.sub("[aeiou]", "", word[1:])
-    return {x for x in swapped | short | ({bare} if len(bare) >= 4 else set()) if x != word}
+    """Spellings that a slip or a dodge makes of a word: neighbours swapped (from five letters), an inner letter left out (from six), its vowels left out."""
+    out = {"".join(c for c in word if c not in "aeiou")}
+    if len(word) >= 5:
+        out |= {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)}
+    if len(word) >= 6:
+        out |= {word[:i] + word[i + 1 :] for i in range(1, len(word) - 1)}
+    return {x for x in out if x != word and len(x) >= 4 and x not in v.LEXICON and x not in v.RECOVERY_SAFE}
 
 
 @lru_cache(1)
 def recovery() -> dict[str, set[str]]:
     """Each variant and the words that it may stand for."""
     out: dict[str, set[str]] = defaultdict(set)
-    known = set(v.LEXICON) | set(v.ENGLISH)
     for w in harsh_words():
-        for x in variants(w) - known:
+        for x in variants(w):
             out[x].add(w)
     return dict(out)
 
 
-def folded(token: str) -> str:
-    """A token in plain lower-case letters: marks dropped, look-alikes replaced."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c)).lower()
-    return "".join(LOOKS.get(c, c) for c in plain)
+@lru_cache(1)
+def _by_length() -> dict[int, list[str]]:
+    out: dict[int, list[str]] = defaultdict(list)
+    for w in harsh_words():
+        out[len(w)].append(w)
+    return out
 
 
-def core_of(token: str) -> str:
-    """A token without the punctuation around it."""
-    return token.strip(".,;:?\"'()[]").rstrip("!.,;:?\"')]")
+def only(candidates: Collection[str]) -> str | None:
+    return next(iter(candidates)) if len(candidates) == 1 else None
 
 
-def recovered(token: str) -> str | None:
-    """The one harsh word that a disguised token stands for, if any."""
-    core = core_of(token)
-    if not core or core.lower() in v.LEXICON:
+def unmasked(token: str) -> str | None:
+    """The one harsh word of the same length that a token with hidden inner letters fits. Both ends and two letters at least must show."""
+    if len(token) < 5 or token[0] in HIDERS or token[-1] in HIDERS or not any(c in HIDERS for c in token):
         return None
-    plain, words = folded(core), harsh_words()
-    if any(c in HIDERS for c in core[1:-1]) and len(core) >= 5:
-        letters = re.sub(f"[{HIDERS}]", "", folded(core))
-        if len(letters) >= 2:
-            shape = re.compile("".join("[a-z]" if c in HIDERS else re.escape(LOOKS.get(c, c)) for c in core.lower()))
-            hits = [w for w in words if shape.fullmatch(w)]
-            if len(hits) == 1:
-                return hits[0]
-    if not plain.isalpha():
-        plain = plain.rstrip("i!")
-    once = re.sub(r"(.)\1{2,}", r"\1", plain)
-    for form in (plain, once, re.sub(r"(.)\1+", r"\1", plain)):
-        if form != core.lower() and form in words:
-            return form
-    hits = recovery().get(once, set()) if len(once) >= 4 and once.isalpha() else set()
-    return next(iter(hits)) if len(hits) == 1 else None
+    if not all("a" <= c <= "z" or c in HIDERS for c in token) or sum(c not in HIDERS for c in token) < 2:
+        return None
+    return only([w for w in _by_length().get(len(token), []) if all(c in HIDERS or c == x for c, x in zip(token, w, strict=True))])
+
+
+def respelled(token: str) -> str:
+    """A lower-case token, or the harsh word that it is a known slip, an unambiguous variant or a masked form of."""
+    if token in v.LEXICON or token in v.RECOVERY_SAFE:
+        return token
+    return v.ABUSE_TYPOS.get(token) or only(recovery().get(token, ())) or unmasked(token) or token
+
+
+def folded(token: str) -> str:
+    """A token in plain letters: marks dropped, look-alikes replaced."""
+    return "".join(LOOKS.get(c, c) for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c))
+
+
+def cased(word: str, like: str) -> str:
+    return word.upper() if like == like.upper() and any(c.isupper() for c in like) else word
 
 
 @lru_cache(1 << 16)
-def _replaced(token: str) -> str:
-    word = recovered(token)
-    if word is None:
+def revealed(token: str) -> str:
+    """The one harsh word that a disguised token stands for, or the token itself."""
+    low = token.lower()
+    if low in v.LEXICON or low in v.RECOVERY_SAFE:
         return token
-    core = core_of(token)
-    return token.replace(core, word.upper() if core.isupper() and len(core) > 1 and any(c.isalpha() for c in core) else word, 1)
+    plain = low if low.isascii() and low.isalpha() else folded(low)
+    found = {respelled(x) for x in (low, plain, REPEATED.sub(r"\1", plain))}
+    word = only({w for w in found if v.LEXICON.get(w, 0) <= HARSH and (len(w) >= 4 or w in v.SHORT_ABUSE)})
+    return cased(word, token) if word else token
+
 
+@lru_cache(1)
+def separators() -> str:
+    """Up to four blanks, punctuation marks or symbols, as a pattern. Planes from the second on have none."""
+    points = [i for i in range(0x20000) if unicodedata.category(chr(i))[0] in "PS"]
+    starts = [i for i, p in zip(range(len(points)), points, strict=True) if i == 0 or points[i - 1] != p - 1]
+    ranges = [(points[a], points[z - 1]) for a, z in zip(starts, [*starts[1:], len(points)], strict=True)]
+    return "[ " + "".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for a, z in ranges) + "]{0,4}"
 
-def _joined(m: re.Match) -> str:
-    letters = folded(re.sub(r"[\W_]", "", m[0]))
-    return letters if letters in harsh_words() else m[0]
+
+def _looks(letter: str) -> str:
+    return f"[{letter}{re.escape(''.join(c for c, x in LOOKS.items() if x == letter))}]+"
+
+
+def _branches(words: list[str], at: int) -> str:
+    """What may follow `at` common letters of some words: their next letters, each with its own branches, and the end if a word is over."""
+    nexts: dict[str, list[str]] = defaultdict(list)
+    for w in words:
+        nexts[w[at] if len(w) > at else ""].append(w)
+    forms = [(separators() if at else "") + _looks(c) + _branches(ws, at + 1) for c, ws in sorted(nexts.items()) if c]
+    return "(?:" + "|".join(forms + ([END] if "" in nexts else [])) + ")"
+
+
+@lru_cache(1)
+def separated() -> tuple[re.Pattern, dict[str, str]]:
+    """One pattern of all harsh words with repeated letters, look-alikes and up to four separators between letters, the longest first; and each word by its letters without repetitions."""
+    words = [*harsh_words(), *v.SHORT_ABUSE]
+    return re.compile(START + _branches(words, 0)), {REPEATED.sub(r"\1", w): w for w in words}
+
+
+def joined(text: str) -> str:
+    """The text with harsh words whose letters stand apart, repeat or have look-alikes put together."""
+    low = text.lower()
+    if len(low) != len(text):  # lower case of a few letters is longer
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    pattern, words = separated()
+    out, at = [], 0
+    for m in pattern.finditer(low):
+        letters = "".join(x for x in (LOOKS.get(c, c) for c in m[0]) if x.isalpha())
+        word = words.get(REPEATED.sub(r"\1", letters))
+        if word and word != m[0]:
+            out += [text[at : m.start()], cased(word, text[m.start() : m.end()])]
+            at = m.end()
+    return "".join([*out, text[at:]])
+
+
+@lru_cache(1 << 16)
+def _typed(token: str) -> str:
+    word = respelled(token.lower())
+    return token if word == token.lower() else cased(word, token)
 
 
 def normalised(text: str) -> str:
-    """The text with compatibility forms, invisible characters and disguises of harsh words undone; other words stay as they are."""
+    """The text with compatibility forms, invisible characters and disguises of harsh words undone; other words stay as they are.
+
+    Disguised words first, then letters kept apart by separators (the longest word wins), then plain slips of the pen.
+    """
     plain = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    plain = TOKEN.sub(lambda m: _replaced(m[0]), plain)
-    return SEPARATED.sub(_joined, plain)
+    if not plain.isascii() and MARK.search(plain):
+        plain = MARKED.sub(lambda m: revealed(m[0]), plain)
+    plain = DISGUISED.sub(lambda m: revealed(m[0]), plain)
+    return PLAIN.sub(lambda m: _typed(m[0]), joined(plain))
+
+
+def _or_none(text: str) -> str | None:
+    try:
+        return normalised(text)
+    except (ValueError, UnicodeError, RecursionError):
+        return None
 
 
 def normalise(text: Column) -> Column:
-    """normalised(), Arrow batch by batch; nulls stay. Keep cheap filters ahead of it."""
+    """normalised(), Arrow batch by batch; nulls stay, and a text that can't be normalised becomes one. Keep cheap filters ahead of it."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield b.map(normalised, na_action="ignore")
+            yield b.map(_or_none, na_action="ignore")
 
     return run(text)
 

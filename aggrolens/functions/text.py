@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,27 +21,48 @@ def numbers(values: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
+def praise() -> list[str]:
+    return [w for w, x in v.LEXICON.items() if x > 0]
+
+
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x made once, however often body uses it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+def any_in(words: Column, known: list[str]) -> Column:
+    """Whether an array holds one of the known words, by a hash set."""
+    return F.exists(words, lambda w: w.isin(known))
+
+
 def letter_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
 
 
 def content_tokens(text: Column) -> Column:
     """Lower-case letter runs of two letters or more, without stop words."""
-    stop = strings(v.STOP_WORDS)
-    return F.filter(letter_words(text), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(letter_words(text), lambda t: (F.length(t) > 1) & ~t.isin(v.STOP_WORDS))
 
 
 def live_words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z\s]", ""), r"\s+"), lambda w: w != "")
 
 
-def live_tokens(words: Column) -> Column:
-    """Tokens as met on pages, from live_words (a column of the frame, so that it is made once): not_ before those with a negation among the three words before them; no negations, stop words or single letters."""
-    stop, negators = strings([w for w in v.STOP_WORDS if w not in ("not", "no")]), strings(v.NB_NEGATORS)
-    n = DEFAULT.negation_window
-    before = lambda i: F.slice(words, F.greatest(i - n + 1, F.lit(1)), F.least(i, F.lit(n)))
-    marked = F.transform(words, lambda w, i: F.when((F.length(w) > 1) & ~F.array_contains(stop, w) & ~F.array_contains(negators, w), F.when(F.arrays_overlap(before(i), negators), F.concat(F.lit("not_"), w)).otherwise(w)))
-    return F.array_compact(marked)
+def marked_words(words: Column) -> Column:
+    """Tokens of live_words: not_ before those with a negation among the three words before them; no negations, stop words or single letters."""
+    kept = lambda w: (F.length(w) > 1) & ~w.isin([x for x in v.STOP_WORDS if x not in ("not", "no")]) & ~w.isin(v.NB_NEGATORS)
+
+    def marks(negations: Column) -> Column:
+        near = lambda i: sum((F.coalesce(F.get(negations, i - d), F.lit(False)).cast("int") for d in range(1, DEFAULT.negation_window + 1)), F.lit(0)) > 0
+        return F.array_compact(F.transform(words, lambda w, i: F.when(kept(w), F.when(near(i), F.concat(F.lit("not_"), w)).otherwise(w))))
+
+    return F.when(any_in(words, v.NB_NEGATORS), let(F.transform(words, lambda w: w.isin(v.NB_NEGATORS)), marks)).otherwise(F.filter(words, kept))
+
+
+def live_tokens(text: Column) -> Column:
+    """Tokens of a text as met on pages: its marked words, then a cue token for each sarcastic phrase."""
+    cues = F.transform(sarcasm_markers(text), lambda m: F.concat(F.lit("cue_"), F.replace(m, F.lit(" "), F.lit("_"))))
+    return F.concat(let(live_words(text), marked_words), cues)
 
 
 def first_words(text: Column, n: int = DEFAULT.max_words) -> Column:
@@ -49,28 +72,32 @@ def first_words(text: Column, n: int = DEFAULT.max_words) -> Column:
 
 
 def looks_english(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z']+)"), F.lit(1))
-    share = lambda known: F.size(F.filter(words, lambda w: F.array_contains(strings(known), w))) / F.size(words)
-    return F.when(F.size(words) < 3, True).when(share(v.TAGALOG) >= DEFAULT.language_ratio, False).otherwise(share(v.ENGLISH) >= DEFAULT.language_ratio)
-
+    def judged(words: Column) -> Column:
+        share = lambda known: F.size(F.filter(words, lambda w: w.isin(known))) / F.size(words)
+        return F.when(F.size(words) < 3, True).when(share(v.TAGALOG) >= DEFAULT.language_ratio, False).otherwise(share(v.ENGLISH) >= DEFAULT.language_ratio)
 
-SELF = r"\bi\s*('?m|am|feel|feels|felt|think|thought|hate)\b|\bmyself\b"
-SEEN = r"\bi('?ve| have)\s+(ever\s+)?(seen|read|heard|watched|played|experienced|had)\b"
+    return let(F.regexp_extract_all(F.lower(text), F.lit("([a-z']+)"), F.lit(1)), judged)
 
 
 def self_distress(text: Column) -> Column:
     """Harsh words that a writer turns on themselves: nobody else is meant and no profanity occurs."""
-    low = F.replace(F.lower(text), F.lit("'"), F.lit(""))
-    words = letter_words(low)
-    others = strings(v.SECOND_PERSON + v.THIRD_PARTY + v.SWEARS + v.PROFANITY)
-    return (F.size(words) > 0) & ~F.arrays_overlap(words, others) & ~low.rlike(SEEN) & low.rlike(SELF)
+    others = v.SECOND_PERSON + v.THIRD_PARTY + v.SWEARS + v.PROFANITY
+
+    def judged(low: Column) -> Column:
+        return low.rlike(v.SELF) & ~low.rlike(v.SEEN) & let(letter_words(low), lambda words: (F.size(words) > 0) & ~any_in(words, others))
+
+    return let(F.replace(F.lower(text), F.lit("'"), F.lit("")), judged)
 
 
 def sarcasm_markers(text: Column) -> Column:
     """Sarcastic phrases in a text; some don't count where they are all it says."""
-    low = F.lower(text)
-    bare = F.regexp_replace(F.trim(F.regexp_replace(low, r"[!?.,\s]+$", "")), r"^(you're|you are|that'?s|he'?s|she'?s|i'?m)\s+", "")
-    return F.filter(strings(v.SARCASM), lambda m: F.contains(low, m) & ~(F.array_contains(strings(v.SINCERE_ALONE), m) & (bare == m)))
+
+    def held(low: Column) -> Column:
+        bare = F.regexp_replace(F.trim(F.regexp_replace(low, r"[!?.,\s]+$", "")), v.LEADING_SUBJECT, "")
+        found = F.filter(strings(v.SARCASM), lambda m: F.contains(low, m))
+        return F.when(F.size(found) == 0, found).otherwise(let(bare, lambda b: F.filter(found, lambda m: ~(m.isin(v.SINCERE_ALONE) & (b == m)))))
+
+    return let(F.lower(text), held)
 
 
 def sarcasm_cue(text: Column) -> Column:
@@ -78,13 +105,16 @@ def sarcasm_cue(text: Column) -> Column:
 
 
 def split_slang(text: Column) -> Column:
-    for joined, apart in v.SLANG.items():
-        text = F.regexp_replace(text, rf"(?i)\b{joined}\b", apart)
-    return text
+    """Joined slang taken apart, one word after the other; texts without any, by one look, stay as they are."""
+    apart = text
+    for joined, words in v.SLANG.items():
+        apart = F.regexp_replace(apart, rf"(?i)\b{joined}\b", words)
+    return F.when(text.rlike(r"(?i)\b(" + "|".join(v.SLANG) + r")\b"), apart).otherwise(text)
 
 
 def lexicon_tokens(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.trim(text), SPACES), lambda t: F.regexp_replace(t, r"[^a-zA-Z'!?]", "")), lambda t: t != "")
+    """Blank-separated words of their letters, apostrophes and !?. Other characters go from the whole text at once."""
+    return F.filter(F.split(F.regexp_replace(text, r"(?U)[^a-zA-Z'!?\s]", ""), SPACES), lambda t: t != "")
 
 
 def bare(token: Column) -> Column:
@@ -98,8 +128,8 @@ def all_caps(token: Column) -> Column:
 def lexicon_hits(tokens: Column, low: Column, lexicon: dict[str, float] = v.LEXICON) -> Column:
     """Lexicon words of a text: pos, word, base, valence, with emphasis, boosters and negation of the three tokens before. tokens and low (the same, bare) should be columns of the frame, so that they are made once."""
     c = DEFAULT
-    known, boost, negators = numbers(lexicon), numbers(v.BOOSTERS), strings(v.NEGATORS)
-    at = F.filter(F.transform(low, lambda w, i: F.when(F.array_contains(strings(list(lexicon)), w), i)), lambda i: i.isNotNull())
+    known, boost = numbers(lexicon), numbers(v.BOOSTERS)
+    at = F.when(any_in(low, list(lexicon)), F.array_compact(F.transform(low, lambda w, i: F.when(w.isin(list(lexicon)), i)))).otherwise(F.array().cast("array<int>"))
 
     def hit(i: Column) -> Column:
         token, word = F.get(tokens, i), F.get(low, i)
@@ -107,9 +137,9 @@ def lexicon_hits(tokens: Column, low: Column, lexicon: dict[str, float] = v.LEXI
         emphatic = base + F.when(all_caps(token), F.signum(base) * c.caps_step).otherwise(0.0)
         before = lambda d: F.when(i >= d, F.get(low, i - d))
         push = sum((F.coalesce(F.try_element_at(boost, before(d)), F.lit(0.0)) * (1.0 if d == 1 else c.far_booster) for d in (3, 2, 1)), F.lit(0.0))
-        negated = F.coalesce(F.arrays_overlap(F.array_compact(F.array(before(1), before(2), before(3))), negators), F.lit(False))
+        negated = F.coalesce(before(1).isin(v.NEGATORS), F.lit(False)) | F.coalesce(before(2).isin(v.NEGATORS), F.lit(False)) | F.coalesce(before(3).isin(v.NEGATORS), F.lit(False))
         value = (emphatic + F.signum(emphatic) * push) * F.when(negated, c.negation_scalar).otherwise(1.0)
-        return F.struct((i + 1).alias("pos"), word.alias("word"), base.alias("base"), value.alias("valence"))
+        return F.struct((i + 1).alias("pos"), word.alias("word"), base.alias("base"), value.alias("valence"), negated.alias("negated"))
 
     return F.transform(at, hit)
 
@@ -126,9 +156,12 @@ def compound(text: Column, hits: Column, n_tokens: Column) -> Column:
 
 def direct_insult_clause(text: Column) -> Column:
     """The first of a text's contrasted clauses that insults the reader, if there are several; else null."""
-    clauses = F.filter(F.transform(F.split(text, r"(?i)\b(but|however|although|though)\b"), F.trim), lambda x: x != "")
-    insulting = F.filter(clauses, lambda x: x.rlike(r"(?i)\byou\s*('re|re|are)\b") & F.arrays_overlap(letter_words(x), strings(v.INSULTS)))
-    return F.when(F.size(clauses) > 1, F.get(insulting, F.lit(0)))
+
+    def first(clauses: Column) -> Column:
+        insulting = F.filter(clauses, lambda x: x.rlike(v.YOU_ARE) & any_in(letter_words(x), v.INSULTS))
+        return F.when(F.size(clauses) > 1, F.get(insulting, F.lit(0)))
+
+    return F.when(text.rlike(v.YOU_ARE) & text.rlike(v.CONTRAST), let(F.filter(F.transform(F.split(text, v.CONTRAST), F.trim), lambda x: x != ""), first))
 
 
 def corrected(value: Column, cue: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..functions import normalise as n
 from ..functions import text as t
 from ..functions import vocab as v
 
@@ -15,18 +16,45 @@ def md5_order(key: str = "doc_id") -> list[Column]:
     return [F.md5(F.col(key).cast("string")), F.col(key)]
 
 
+def first_of_label(df: DataFrame, quota: Column, label: str = "label", digits: int = 4) -> DataFrame:
+    """df with first: whether a row is among the first `quota` of its label in md5 order of ids. quota: of the columns n_label (rows of the label) and n_positive (rows of label 1).
+
+    Rows are counted by label and the first hexadecimal digits of their md5, 65,536 cells a label, so
+    the quota's cell is known from a small table, which is broadcast; only the rows of that cell are ranked.
+    """
+    cell = F.substring(F.md5(F.col("doc_id").cast("string")), 1, digits)
+    d = df.withColumn("_cell", cell)
+    by_label = W.partitionBy(label)
+    cells = d.groupBy(label, "_cell").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(by_label.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("before", before).withColumn("n_label", F.sum("n").over(by_label))
+    positive = df.agg(F.count_if(F.col(label) == 1).alias("n_positive"))
+    cells = cells.crossJoin(F.broadcast(positive)).select(F.col(label).alias("_label"), F.col("_cell").alias("_of"), "n", (quota - F.col("before")).alias("_left"))  # one row
+    d = d.join(F.broadcast(cells), (F.col(label) == F.col("_label")) & (F.col("_cell") == F.col("_of"))).drop("_cell", "_of", "_label")
+    cut = (F.col("_left") > 0) & (F.col("_left") < F.col("n"))
+    sure = d.where(~cut).withColumn("first", F.col("_left") > 0)
+    rank = F.row_number().over(by_label.orderBy(*md5_order()))
+    return sure.unionByName(d.where(cut).withColumn("first", rank <= F.col("_left"))).drop("n", "_left")
+
+
 def stratified_split(df: DataFrame, label: str = "label", share: float = DEFAULT.test_share) -> DataFrame:
     """df with is_test: of each label's rows, in md5 order of their ids, the first `share`."""
-    w = W.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(*md5_order()))
-    return df.withColumn("is_test", rank <= F.floor(F.count("*").over(w) * share + 0.5))
+    return first_of_label(df, F.floor(F.col("n_label") * share + 0.5), label).withColumnRenamed("first", "is_test")
 
 
 def balanced(df: DataFrame, label: str = "label", most: int = DEFAULT.negatives_per_positive) -> DataFrame:
     """All positives and at most `most` negatives for each, the first in md5 order."""
-    positives = F.sum(F.col(label).cast("long")).over(W.partitionBy())
-    rank = F.row_number().over(W.partitionBy(label).orderBy(*md5_order()))
-    return df.withColumn("_p", positives).withColumn("_r", rank).where((F.col(label) == 1) | (F.col("_r") <= most * F.col("_p"))).drop("_p", "_r")
+    quota = F.when(F.col(label) == 1, F.col("n_label")).otherwise(most * F.col("n_positive"))
+    return first_of_label(df, quota, label).where("first").drop("first")
+
+
+def numbered(df: DataFrame, key: str, name: str, parts: int = 64) -> DataFrame:
+    """df with name: 1, 2, ... in the order of a numeric key without ties, nulls or gaps in between. Ranges of the key, by approximate percentiles, are counted, and rows ranked within theirs."""
+    splits = df.agg(F.approx_percentile(key, F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)]), F.lit(10_000)).alias("splits"))
+    d = df.crossJoin(F.broadcast(splits)).withColumn("_part", F.size(F.filter("splits", lambda x: x < F.col(key)))).drop("splits")  # one row
+    counts = d.groupBy("_part").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    d = d.join(F.broadcast(counts), "_part")
+    return d.withColumn(name, F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy(key))).drop("_part", "_before")
 
 
 def token_counts(corpus: DataFrame, tokens: Column | None = None) -> DataFrame:
@@ -34,9 +62,9 @@ def token_counts(corpus: DataFrame, tokens: Column | None = None) -> DataFrame:
     return corpus.select("label", F.explode(t.content_tokens(F.col("text")) if tokens is None else tokens).alias("token")).groupBy("label", "token").agg(F.count("*").alias("n"))
 
 
-def train_nb(corpus: DataFrame) -> DataFrame:
+def train_nb(corpus: DataFrame, tokens: Column | None = None) -> DataFrame:
     """token, c0, c1, ll0, ll1, prior0, prior1: multinomial Naive Bayes with add-one smoothing, as a table."""
-    counts = token_counts(corpus).groupBy("token").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("c0"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("c1"))
+    counts = token_counts(corpus, tokens).groupBy("token").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("c0"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("c1"))
     totals = counts.agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"), F.count("*").alias("v"))
     docs = corpus.agg(F.count_if(F.col("label") == 0).alias("d0"), F.count_if(F.col("label") == 1).alias("d1"))
     one = totals.crossJoin(docs)  # one row by one row
@@ -59,21 +87,28 @@ def score_nb(docs: DataFrame, model: DataFrame, tokens: Column | None = None, ke
     return s.select(key, "matched", softmax(F.col("s0") + F.col("prior0"), F.col("s1") + F.col("prior1")).alias("nb"))
 
 
-def dampened_nb(docs: DataFrame, model: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, matched, nb of page texts: live tokens, in which a negated word counts as its base word pulled three quarters of the way to neutral; a swear before praise and casual words don't count."""
-    words = t.letter_words(F.col("text"))
-    good = t.strings([w for w, x in v.LEXICON.items() if x > 0])
-    pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    swear = F.get(F.filter(pairs, lambda p: F.array_contains(t.strings(v.SWEARS), p["a"]) & F.coalesce(F.array_contains(good, p["b"]), F.lit(False))), F.lit(0))["a"]
-    d = docs.select(key, swear.alias("swear"), t.live_words(F.col("text")).alias("words")).select(key, "swear", t.live_tokens(F.col("words")).alias("tokens"))
-    d = d.select(key, "swear", F.explode_outer("tokens").alias("live")).withColumn("negated", F.startswith(F.col("live"), F.lit("not_"))).withColumn("token", F.when(F.col("negated"), F.substring("live", 5, 1 << 30)).otherwise(F.col("live")))
-    counts = ~F.col("token").isin(v.CASUAL) & ~F.coalesce(F.col("live") == F.col("swear"), F.lit(False))
-    j = d.withColumn("token", F.when(counts, F.col("token"))).join(model.select("token", "ll0", "ll1"), "token", "left")
-    mean = (F.col("ll0") + F.col("ll1")) / 2
-    pulled = lambda c: F.when(F.col("negated"), F.col(c) + DEFAULT.nb_negation_pull * (mean - F.col(c))).otherwise(F.col(c))
-    s = j.groupBy(key).agg(F.count("ll0").alias("matched"), F.coalesce(F.sum(pulled("ll0")), F.lit(0.0)).alias("s0"), F.coalesce(F.sum(pulled("ll1")), F.lit(0.0)).alias("s1"))
+def page_tokens(docs: DataFrame, text: str, key: list[str]) -> DataFrame:
+    """key and token of each live token that counts: a swear before praise and casual words don't. Texts without any keep a row with a null."""
+
+    def praised(words: Column) -> Column:
+        pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.when(a.isin(v.SWEARS) & b.isin(t.praise()), a))
+        return F.when(t.any_in(words, v.SWEARS), F.get(F.array_compact(pairs), F.lit(0)))
+
+    d = docs.select(*key, t.let(t.letter_words(F.col(text)), praised).alias("_swear"), t.live_tokens(F.col(text)).alias("_tokens"))
+    d = d.select(*key, "_swear", F.explode_outer("_tokens").alias("token"))
+    counts = ~F.col("token").isin(v.CASUAL) & ~F.coalesce(F.col("token") == F.col("_swear"), F.lit(False))
+    return d.select(*key, F.when(counts, F.col("token")).alias("token"))
+
+
+def dampened_nb(docs: DataFrame, model: DataFrame, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:
+    """key, matched, nb of page texts by a model of live tokens. A negated word is a token of its own, not_word, of which a quarter of the difference between the classes is taken off, half from either side."""
+    key = [key] if isinstance(key, str) else key
+    j = page_tokens(docs, text, key).join(model.select("token", "ll0", "ll1"), "token", "left")
+    mean, kept = (F.col("ll0") + F.col("ll1")) / 2, DEFAULT.nb_negation_kept
+    drawn = lambda c: F.when(F.startswith(F.col("token"), F.lit("not_")), mean + kept * (F.col(c) - mean)).otherwise(F.col(c))
+    s = j.groupBy(*key).agg(F.count("ll0").alias("matched"), F.coalesce(F.sum(drawn("ll0")), F.lit(0.0)).alias("s0"), F.coalesce(F.sum(drawn("ll1")), F.lit(0.0)).alias("s1"))
     s = s.crossJoin(F.broadcast(model.select("prior0", "prior1").limit(1)))
-    return s.select(key, "matched", F.round(softmax(F.col("s0") + F.col("prior0"), F.col("s1") + F.col("prior1")), 4).alias("nb"))
+    return s.select(*key, "matched", F.round(softmax(F.col("s0") + F.col("prior0"), F.col("s1") + F.col("prior1")), 4).alias("nb"))
 
 
 def with_hits(docs: DataFrame, text: str, lexicon: dict[str, float] = v.LEXICON) -> DataFrame:
@@ -98,6 +133,12 @@ def blended(nb: Column, lex: Column, matched: Column | None = None) -> Column:
     return both if matched is None else F.when(matched == 0, lex).otherwise(both)
 
 
+def by_mode(nb: Column, lex: Column, matched: Column, text: Column, mode: str | Column = "hybrid") -> Column:
+    """The deciding score of a mode; an unknown one is hybrid. With nothing matched, the hybrid mode rests on the lexicon alone."""
+    mode = F.lit(mode) if isinstance(mode, str) else mode
+    return F.when(mode == "nb", nb).when(mode == "lexicon", lex).otherwise(t.let(blended(nb, lex, matched), lambda x: guarded(x, text)))
+
+
 def guarded(score: Column, text: Column, mode: str = "hybrid") -> Column:
     """The policy on blended scores over the threshold: 0 for texts not in English, less for distress about oneself. Single scorers are left alone."""
     if mode in ("nb", "lexicon"):
@@ -110,10 +151,46 @@ def predicted(score: Column) -> Column:
 
 
 def listed(text: Column, words: list[str]) -> Column:
-    low = F.lower(text)
-    return F.exists(t.strings([w.lower() for w in words]), lambda w: F.contains(low, w))
+    """Whether the raw text holds one of the words, in any case, inside others too."""
+    low, test = F.lower(text), F.lit(False)
+    for w in words:
+        test = test | F.contains(low, F.lit(w.lower()))
+    return test
 
 
 def verdict(text: Column, score: Column, blocklist: list[str], whitelist: list[str]) -> Column:
     """Which rule decides: the blocklist, then the whitelist, then the score."""
     return F.when(listed(text, blocklist), "blocked").when(listed(text, whitelist), "exempt").when(score >= DEFAULT.threshold, "aggressive").otherwise("safe")
+
+
+def live_scores(units: DataFrame, model: DataFrame | None, key: list[str], blocklist: list[str] | None = None, whitelist: list[str] | None = None) -> DataFrame:
+    """key, text, listed, cut, lex, matched, nb of batch rows, as a live scan finds them.
+
+    The raw text goes through the blocklist, then the whitelist: listed says blocked or exempt, and such rows have no
+    scores. The others are normalised, cut to the first 128 words and scored by both scorers. Without a model Naive Bayes
+    gives 0.5 and counts as having matched. Null texts have no row; key must tell rows apart.
+    """
+    block, white = v.BLOCKLIST if blocklist is None else blocklist, v.WHITELIST if whitelist is None else whitelist
+    text = F.col("text")
+    d = units.where("text is not null").select(*key, "text", F.when(listed(text, block), "blocked").when(listed(text, white), "exempt").alias("listed"))
+    ruled = d.where("listed is not null")
+    rest = score_lexicon(d.where("listed is null").select(*key, "text", t.first_words(n.normalise(text)).alias("cut")), "cut")
+    if model is None:
+        rest = rest.withColumn("matched", F.lit(1).cast("long")).withColumn("nb", F.lit(0.5))
+    else:
+        rest = rest.join(dampened_nb(rest.select(*key, "cut"), model, key, "cut"), key)
+    return ruled.unionByName(rest.select(*key, "text", "cut", "lex", "matched", "nb"), allowMissingColumns=True)
+
+
+def decided(scores: DataFrame, key: list[str], mode: str | Column = "hybrid") -> DataFrame:
+    """key, text, verdict, score, flagged, error of live_scores: blocked rows score 1, exempt ones have no score, the policy of the mode decides on the others. A text whose normalisation failed is safe, and error says so."""
+    score = by_mode(F.col("nb"), F.col("lex"), F.col("matched"), F.col("cut"), mode)
+    d = scores.withColumn("score", F.when(F.col("listed") == "blocked", 1.0).when(F.col("listed").isNull(), score))
+    verdict = F.when(F.col("listed").isNotNull(), F.col("listed")).when(F.col("score") >= DEFAULT.threshold, "aggressive").otherwise("safe")
+    d = d.withColumn("verdict", verdict).withColumn("error", F.when(F.col("listed").isNull() & F.col("cut").isNull(), "normalisation"))
+    return d.select(*key, "text", "verdict", "score", F.col("verdict").isin("blocked", "aggressive").cast("int").alias("flagged"), "error")
+
+
+def live_verdicts(units: DataFrame, model: DataFrame | None, key: list[str], mode: str = "hybrid", **lists) -> DataFrame:
+    """key, text, verdict, score, flagged, error of batch rows by the whole order of a live scan."""
+    return decided(live_scores(units, model, key, **lists), key, mode)

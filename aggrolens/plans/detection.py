@@ -40,6 +40,11 @@ def split(spark: SparkSession, sf: str) -> DataFrame:
     return s.stratified_split(corpus(spark, sf))
 
 
+def live_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Naive Bayes of live tokens, negated ones and cues included, from the training rows."""
+    return s.train_nb(split(spark, sf).where("not is_test"), t.live_tokens(F.col("text")))
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """The test rows with nb, matched, compound, lex and hybrid."""
     d = split(spark, sf)
@@ -117,29 +122,44 @@ u AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM wor
 n AS (SELECT *, list_contains({q.lst(v.NB_NEGATORS)}, w) AS neg FROM u),
 o AS (SELECT *, sum(CASE WHEN neg THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS ord FROM n),
 a AS (SELECT *, max(CASE WHEN neg THEN ord END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since FROM o),
-live AS (SELECT doc_id, pos, CASE WHEN since IS NOT NULL AND ord - since <= {C.negation_window} THEN 'not_' || w ELSE w END AS token FROM a WHERE NOT neg AND length(w) > 1 AND NOT list_contains({q.lst([w for w in v.STOP_WORDS if w not in ("not", "no")])}, w))"""
+plain AS (SELECT doc_id, pos, CASE WHEN since IS NOT NULL AND ord - since <= {C.negation_window} THEN 'not_' || w ELSE w END AS token FROM a WHERE NOT neg AND length(w) > 1 AND NOT list_contains({q.lst([w for w in v.STOP_WORDS if w not in ("not", "no")])}, w)),
+mk AS (SELECT doc_id, {q.markers("text")} AS ms FROM documents WHERE text IS NOT NULL),
+cues AS (SELECT doc_id, 1000000000 + generate_subscripts(ms, 1) AS pos, 'cue_' || replace(unnest(ms), ' ', '_') AS token FROM mk),
+live AS (SELECT * FROM plain UNION ALL SELECT * FROM cues)"""
 
 
-@query(f"WITH {LIVE} SELECT d.doc_id, count(token) AS n_tokens, count(*) FILTER (starts_with(token, 'not_')) AS n_negated, md5(coalesce(string_agg(token, ' ' ORDER BY pos), '')) AS tokens_md5 FROM documents d LEFT JOIN live ON live.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id")
+@query(
+    f"""WITH {LIVE} SELECT d.doc_id, count(token) AS n_tokens, count(*) FILTER (starts_with(token, 'not_')) AS n_negated, md5(coalesce(string_agg(token, ' ' ORDER BY pos), '')) AS tokens_md5
+FROM documents d LEFT JOIN live ON live.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id"""
+)
 def nb_runtime_tokens(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", t.live_words(F.col("text")).alias("ws")).select("doc_id", t.live_tokens(F.col("ws")).alias("ts"))
-    return d.select("doc_id", F.size("ts").cast("long").alias("n_tokens"), F.size(F.filter("ts", lambda x: F.startswith(x, F.lit("not_")))).cast("long").alias("n_negated"), F.md5(F.array_join("ts", " ")).alias("tokens_md5"))
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", t.live_tokens(F.col("text")).alias("ts"))
+    negated = F.size(F.filter("ts", lambda x: F.startswith(x, F.lit("not_")))).cast("long")
+    return d.select("doc_id", F.size("ts").cast("long").alias("n_tokens"), negated.alias("n_negated"), F.md5(F.array_join("ts", " ")).alias("tokens_md5"))
+
+
+_DAMP = f"CASE WHEN starts_with(token, 'not_') THEN (ll0 + ll1) / 2 + {{sign}} {C.nb_negation_kept}::DOUBLE * (ll1 - ll0) / 2 ELSE {{own}} END"
+DAMPENED = f"""{q.SPLIT}, {LIVE},
+ltoks AS (SELECT s.label, l.token FROM live l JOIN split s ON s.doc_id = l.doc_id WHERE NOT s.is_test),
+lcnt AS (SELECT token, count(*) FILTER (label = 0) AS c0, count(*) FILTER (label = 1) AS c1 FROM ltoks GROUP BY token),
+ltot AS (SELECT sum(c0) AS t0, sum(c1) AS t1, count(*) AS v FROM lcnt),
+lmodel AS (SELECT token, c0, c1, t0, t1, v, ln((c0 + 1)::DOUBLE / (t0 + v)::DOUBLE) AS ll0, ln((c1 + 1)::DOUBLE / (t1 + v)::DOUBLE) AS ll1 FROM lcnt, ltot),
+lprior AS (SELECT ln((count(*) FILTER (label = 0))::DOUBLE / count(*)::DOUBLE) AS prior0, ln((count(*) FILTER (label = 1))::DOUBLE / count(*)::DOUBLE) AS prior1 FROM split WHERE NOT is_test)"""
 
 
 @query(
-    f"""WITH {q.MODEL}, {LIVE},
+    f"""WITH {DAMPENED},
 rawl AS (SELECT doc_id, {q.WORDS.format("text")} AS rw FROM documents WHERE text IS NOT NULL),
 rawu AS (SELECT doc_id, unnest(rw) AS w, generate_subscripts(rw, 1) AS pos FROM rawl),
 nxt AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS nw FROM rawu),
-sw AS (SELECT doc_id, arg_min(w, pos) AS swear FROM nxt WHERE list_contains({q.lst(v.SWEARS)}, w) AND list_contains({q.lst([w for w, x in v.LEXICON.items() if x > 0])}, nw) GROUP BY doc_id),
-lt2 AS (SELECT l.doc_id, l.token AS live, starts_with(l.token, 'not_') AS negated, CASE WHEN starts_with(l.token, 'not_') THEN substr(l.token, 5) ELSE l.token END AS tok, sw.swear FROM live l LEFT JOIN sw ON sw.doc_id = l.doc_id),
-lk AS (SELECT doc_id, negated, CASE WHEN list_contains({q.lst(v.CASUAL)}, tok) OR coalesce(live = swear, false) THEN NULL ELSE tok END AS tok FROM lt2),
-jj AS (SELECT d.doc_id, lk.negated, m.ll0, m.ll1 FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) d LEFT JOIN lk ON lk.doc_id = d.doc_id LEFT JOIN model m ON m.token = lk.tok),
-ja AS (SELECT doc_id, count(ll0) AS matched, coalesce(sum(CASE WHEN negated THEN ll0 + {C.nb_negation_pull}::DOUBLE * ((ll0 + ll1) / 2 - ll0) ELSE ll0 END), 0) AS s0, coalesce(sum(CASE WHEN negated THEN ll1 + {C.nb_negation_pull}::DOUBLE * ((ll0 + ll1) / 2 - ll1) ELSE ll1 END), 0) AS s1 FROM jj GROUP BY doc_id)
-SELECT doc_id, matched, round(1 / (1 + exp(least((s0 + prior0) - (s1 + prior1), 700))), 4) AS nb FROM ja, {q.PRIOR}"""
+sw AS (SELECT doc_id, arg_min(w, pos) AS swear FROM nxt WHERE list_contains({q.lst(v.SWEARS)}, w) AND list_contains({q.lst(t.praise())}, nw) GROUP BY doc_id),
+lk AS (SELECT l.doc_id, l.token FROM live l LEFT JOIN sw ON sw.doc_id = l.doc_id WHERE NOT list_contains({q.lst(v.CASUAL)}, l.token) AND NOT coalesce(l.token = sw.swear, false)),
+jj AS (SELECT d.doc_id, m.* FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) d LEFT JOIN lk ON lk.doc_id = d.doc_id LEFT JOIN lmodel m ON m.token = lk.token),
+ja AS (SELECT doc_id, count(ll0) AS matched, coalesce(sum({_DAMP.format(sign="-", own="ll0")}), 0) AS s0, coalesce(sum({_DAMP.format(sign="+", own="ll1")}), 0) AS s1 FROM jj GROUP BY doc_id)
+SELECT doc_id, matched, round(1 / (1 + exp(least((s0 + prior0) - (s1 + prior1), 700))), 4) AS nb FROM ja, lprior"""
 )
 def nb_dampened_scores(spark, sf):
-    return s.dampened_nb(table(spark, sf, "documents").where("text is not null"), s.train_nb(split(spark, sf).where("not is_test")))
+    return s.dampened_nb(table(spark, sf, "documents").where("text is not null"), live_model(spark, sf))
 
 
 @query(f"WITH src AS (SELECT doc_id, text AS txt FROM documents WHERE text IS NOT NULL), {q.hits('src')} SELECT doc_id, pos, word, round(base, 6) AS base, round(valence, 6) AS valence FROM hit")
@@ -177,7 +197,20 @@ round(nb, 6) AS nb, CASE WHEN round(nb, 9) >= 0.5 THEN 1 ELSE 0 END AS nb_predic
 def prediction_table(spark, sf):
     d = scored(spark, sf)
     name = F.when(F.col("label") == 1, "aggressive").otherwise("safe")
-    return d.select(F.row_number().over(W.orderBy("doc_id")).cast("long").alias("sample_id"), "doc_id", "label", name.alias("actual_class"), F.round("nb", 6).alias("nb"), s.predicted(F.round("nb", 9)).alias("nb_predicted"), "compound", "lex", s.predicted(F.col("lex")).alias("lex_predicted"), F.round("hybrid", 6).alias("hybrid"), s.predicted(F.round("hybrid", 9)).alias("hybrid_predicted"))
+    number = s.numbered(split(spark, sf).where("is_test").select("doc_id"), "doc_id", "sample_id")
+    scores = d.select(
+        "doc_id",
+        "label",
+        name.alias("actual_class"),
+        F.round("nb", 6).alias("nb"),
+        s.predicted(F.round("nb", 9)).alias("nb_predicted"),
+        "compound",
+        "lex",
+        s.predicted(F.col("lex")).alias("lex_predicted"),
+        F.round("hybrid", 6).alias("hybrid"),
+        s.predicted(F.round("hybrid", 9)).alias("hybrid_predicted"),
+    )
+    return number.join(scores, "doc_id").select("sample_id", *scores.columns)
 
 
 @query(f"WITH {q.MELT} SELECT model, label, p AS predicted, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY model, label), 6) AS share FROM pred GROUP BY model, label, p")

@@ -73,7 +73,7 @@ tb AS (SELECT *, regexp_replace(lower(tok), '^[!?]+|[!?]+$', '', 'g') AS low FRO
 tw AS (SELECT *, {before(1)} AS b1, {before(2)} AS b2, {before(3)} AS b3 FROM tb WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 hb AS (SELECT *, {case_map(v.LEXICON, "low")} AS base FROM tw),
 he AS (SELECT *, base + CASE WHEN length(tok) > 1 AND tok = upper(tok) AND regexp_matches(tok, '[A-Z]') THEN sign(base) * {C.caps_step}::DOUBLE ELSE 0::DOUBLE END AS emph FROM hb WHERE base IS NOT NULL),
-hit AS (SELECT doc_id, pos, low AS word, base, (emph + sign(emph) * ({push})) * CASE WHEN {neg} THEN {C.negation_scalar}::DOUBLE ELSE 1::DOUBLE END AS valence FROM he)"""
+hit AS (SELECT doc_id, pos, low AS word, base, (emph + sign(emph) * ({push})) * CASE WHEN {neg} THEN {C.negation_scalar}::DOUBLE ELSE 1::DOUBLE END AS valence, ({neg}) AS negated FROM he)"""
 
 
 def lexicon(source: str) -> str:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LABELLED = T.StructType([T.StructField("comment_text", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate"))])
 
+MODEL = "token string, c0 long, c1 long, ll0 double, ll1 double, prior0 double, prior1 double"
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
     """A CSV table with quoted, multi-line fields; rows of another width fail, or go where strict is off."""
@@ -41,8 +44,10 @@ def safe_export(df: DataFrame) -> DataFrame:
     return df.select(*[safe_cell(F.col(c)).alias(c) for c in df.columns])
 
 
-def write_csv(df: DataFrame, path: str, quote_all: bool = False, crlf: bool = False) -> None:
-    """CSV files under path, as many as df has partitions."""
+def write_csv(df: DataFrame, path: str, quote_all: bool = False, crlf: bool = False, bom: bool = False) -> None:
+    """CSV files under path, as many as df has partitions; with bom each begins with a byte order mark, as spreadsheets like it."""
+    if bom and df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     w = df.write.option("header", True).option("quoteAll", quote_all).option("escape", '"')
     (w.option("lineSep", "\r\n") if crlf else w).csv(path)
 
@@ -60,8 +65,22 @@ def save_model(model: DataFrame, path: str) -> None:
     model.write.mode("overwrite").parquet(path)
 
 
-def load_model(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load_model(spark: SparkSession, path: str) -> DataFrame | None:
+    """The model saved at path; None, with which Naive Bayes gives 0.5, where there is none."""
+    try:
+        return spark.read.schema(MODEL).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def read_lexicon(spark: SparkSession, path: str, most: int = 50_000) -> dict[str, float]:
+    """A lexicon of lower-case terms from a CSV table of term and valence. It becomes a literal of plans, so more than `most` terms are refused."""
+    rows = read_csv(spark, path, "term string, valence double").where("term is not null and valence is not null").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{path} holds more than {most} terms")
+    return {r["term"].strip().lower(): r["valence"] for r in rows}
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
