@@ -83,6 +83,13 @@ def page_ui_filtered(spark, sf):
     return pages.readable_units(pages.text_units(table(spark, sf, "pages")))
 
 
+@query()
+def page_captions(spark, sf):
+    """Units after a time, by its kind, and what is read when captions are left out."""
+    u = pages.with_time_kind(pages.text_units(table(spark, sf, "pages")))
+    return pages.readable_units(u).groupBy("page_id", "time_kind").agg(F.count("*").alias("n"))
+
+
 HOST = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\\.', '')"
 PATH = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)', 1)"
 _STRICT = " OR ".join(["h = ''", *(f"h = '{x}' OR ends_with(h, '.{x}')" for x in v.PRIVATE_HOSTS), *(f"((h = '{x}' OR ends_with(h, '.{x}')) AND starts_with(lower(p), '{y}'))" for x, y in v.PRIVATE_PATHS)])

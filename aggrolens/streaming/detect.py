@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +13,7 @@ from ..config import DEFAULT
 from ..functions import text as t
 from ..functions import vocab as v
 from ..operators import scoring as s
+from .live import shared_path
 
 UNITS = "conv_id long, turn long, role string, text string"
 
@@ -38,7 +37,7 @@ def streamed_alerts(found: DataFrame, scope: str = "conv_id", unit: str = "turn"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, warned = state.get if state.exists else ([], False)
-        units = sorted({int(x) for b in batches for x in b[unit]})
+        units = sorted({int(x) for b in batches for x in b[unit][b["flagged"] == 1]})
         for x in units:
             if not warned and x not in seen:
                 seen = [*seen, x]
@@ -47,15 +46,14 @@ def streamed_alerts(found: DataFrame, scope: str = "conv_id", unit: str = "turn"
                     yield pd.DataFrame({scope: [key[0]], "alert_at": [x]})
         state.update((seen, warned))
 
-    flagged = found.where("flagged = 1").select(scope, unit)
-    return flagged.groupBy(scope).applyInPandasWithState(step, f"{scope} long, alert_at long", "seen array<long>, warned boolean", "append", GroupStateTimeout.NoTimeout)
+    # a filter on flagged would be pushed down as the whole scoring expression, several times over
+    return found.select(scope, unit, "flagged").groupBy(scope).applyInPandasWithState(step, f"{scope} long, alert_at long", "seen array<long>, warned boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(stream: DataFrame, path: str | None = None) -> DataFrame:
     """Run a stream over what is there, in append mode, into a Parquet table, and read that."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="aggrolens-")
-    path = path or f"{base}/stream-{uuid.uuid4().hex}"
+    path = path or shared_path(spark, "stream")
     q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")

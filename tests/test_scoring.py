@@ -1,15 +1,19 @@
 """Known scores, policy and disguises."""
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from aggrolens.functions import normalise as n
+from aggrolens.functions import render
 from aggrolens.functions import text as t
 from aggrolens.functions import vocab as v
-from aggrolens.operators import lists, pages
+from aggrolens.operators import lists, logs, pages
 from aggrolens.operators import scoring as s
 from aggrolens.sources import files
-from aggrolens.streaming import detect
+from aggrolens.streaming import detect, live
 
 
 def scores(spark, texts):
@@ -142,6 +146,140 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted((r.conv_id, r.alert_at) for r in alerts) == [(0, 5), (1, 4), (2, 5)]
 
 
+def live_frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_negated_token_loses_a_quarter(spark):
+    model = spark.createDataFrame([("not_idiot", 0, 0, -4.0, -2.0, -0.7, -0.7)], files.MODEL)
+    r = s.dampened_nb(live_frame(spark, ["you are not an idiot", "idiot", "gg"]), model).orderBy("doc_id").collect()
+    assert [x.matched for x in r] == [1, 0, 0]
+    assert r[0].nb == pytest.approx(1 / (1 + 2.718281828459045**-1.5), abs=1e-4)  # three quarters of the difference of two are left
+    assert r[1].nb == r[2].nb == 0.5
+
+
+def test_live_tokens(spark):
+    d = spark.createDataFrame([("not not a fine big new car, yeah right",), ("don't you DARE",), ("", ), (None,)], "text string")
+    got = [r[0] for r in d.select(t.live_tokens(F.col("text"))).collect()]
+    assert got == [["not_fine", "not_big", "new", "car", "yeah", "right", "cue_yeah_right"], ["not_dare"], [], None]
+
+
+LIVE = {
+    "you are an idiot": "exempt", "pure SCUM": "blocked", "scum and clown": "blocked", "you are a l0ser": "aggressive", "you are a l.o.s.e.r": "aggressive", "you are d*mb and pathetic trash": "aggressive", "what a wonderful day for you all": "safe",
+    "i feel so stupid and ugly": "safe", "ang mga tao ay stupid stupid stupid po": "safe", "you are stupid": "aggressive", "oh great another meeting, you are so late": "aggressive", "hello": "safe",
+}
+
+
+def test_live_verdicts(spark):
+    """Without a known token the lexicon decides alone: disguises count, distress about oneself and other languages don't."""
+    model = spark.createDataFrame([("zzz", 1, 1, -1.0, -1.0, -0.7, -0.7)], files.MODEL)
+    got = {r.text: (r.verdict, r.score, r.error) for r in s.live_verdicts(live_frame(spark, [*LIVE, None]), model, ["doc_id"]).collect()}
+    assert {k: x[0] for k, x in got.items()} == LIVE and all(x[2] is None for x in got.values())
+    assert got["pure SCUM"][1] == 1.0 and got["you are an idiot"][1] is None
+    none = {r.text: r.score for r in s.live_verdicts(live_frame(spark, ["you are stupid", "hello"]), None, ["doc_id"], "nb").collect()}
+    assert none == {"you are stupid": 0.5, "hello": 0.5}
+
+
+def test_normalise_before_cut(spark):
+    text = "s t u p i d " + "word " * 127
+    cut = live_frame(spark, [text + "end"]).select(t.first_words(n.normalise(F.col("text")))).first()[0]
+    assert cut == "stupid " + "word " * 127 + "end" or cut == ("stupid " + "word " * 127).strip()
+
+
+@pytest.mark.parametrize("text,plain", [("bithc", "bitch"), ("b***h", "bitch"), ("id**t", "idiot"), ("stpd", "stupid"), ("SUTPID", "STUPID"), ("k.y.s", "kys"), ("iḋiot", "idiot"), ("st\u200bupid", "stupid"), ("wore a shirt, count shot", "wore a shirt, count shot"), ("my assignment in class", "my assignment in class")])
+def test_recovery(text, plain):
+    assert n.normalised(text) == plain
+
+
+def test_ui_labels(spark):
+    d = spark.createDataFrame([("Like \u00b7 Reply",), ("Comment as Jane",), ("12 mutual friends",), ("I like it",), ("1.2k views | today",)], "text string")
+    assert [r[0] for r in d.select(pages.ui_label(F.col("text"))).collect()] == [True, True, True, False, True]
+
+
+def test_captions_and_cards(spark):
+    html = "<p>first</p><span>March 3 at 10:15 am</span><p>caption text</p><span>5 min</span><p>a comment here</p><div aria-label='Friends'><p>in a card</p></div>"
+    d = spark.createDataFrame([(1, "http://www.facebook.com/x", html), (2, "http://other.org/x", html)], "page_id long, url string, html string")
+    kept = pages.readable_units(pages.with_time_kind(pages.text_units(d))).orderBy("page_id", "seq").collect()
+    assert [r.text for r in kept if r.page_id == 2] == ["first", "March 3 at 10:15 am", "5 min", "a comment here", "in a card"] or [r.text for r in kept if r.page_id == 2] == ["first", "March 3 at 10:15 am", "a comment here", "in a card"]
+    assert "caption text" not in [r.text for r in kept] and [r.text for r in kept if r.page_id == 1][-1] == "a comment here"
+
+
+def test_rendering():
+    assert render.to_ascii("\u201cna\u00efve\u201d \u2013 \u2026 \u65e5") == '"naive" - ... ?'
+    assert render.wrapped("aa bb cc", 5) == ["aa bb", "cc"] and render.wrapped("abcdefg h", 3) == ["abc", "def", "g h"] and render.wrapped("  ") == [""]
+    assert re.match(render.host_pattern("*://*.example.com/*"), "example.com") and not re.match(render.host_pattern("*://*.example.com/*"), "example.com.evil.org")
+
+
+def test_csv_kinds(spark, tmp_path):
+    d = spark.createDataFrame([("1", "a, b")], "id string, text string").coalesce(1)
+    files.write_csv(d, str(tmp_path / "a"), crlf=True, bom=True)
+    part = next((tmp_path / "a").glob("part*")).read_bytes()
+    assert part == '\ufeffid,text\r\n1,"a, b"\r\n'.encode()
+    (tmp_path / "b.csv").write_text('term,valence\nBad,-2\n"good",1.5\nbroken,x,y\n')
+    assert files.read_csv(spark, str(tmp_path / "b.csv"), "term string, valence double", strict=False).count() == 2
+    (tmp_path / "c.csv").write_text("term,valence\nBad,-2\ngood,1.5\n")
+    assert files.read_lexicon(spark, str(tmp_path / "c.csv")) == {"bad": -2.0, "good": 1.5}
+    (tmp_path / "d.json").write_text('[{"a": 1}]')
+    assert files.read_table(spark, str(tmp_path / "d.json")).first().a == 1 and files.read_table(spark, str(tmp_path / "c.csv")).count() == 2
+    files.write_json(d, str(tmp_path / "j"))
+    files.write_lines(d, str(tmp_path / "l"), F.concat_ws(": ", "id", "text"))
+    assert spark.read.json(str(tmp_path / "j")).first().text == "a, b" and spark.read.text(str(tmp_path / "l")).first().value == "1: a, b"
+
+
+def test_models(spark, tmp_path):
+    assert files.load_model(spark, str(tmp_path / "none")) is None
+    d = spark.createDataFrame([(1, "idiot", 1), (2, "nice", 0)], "doc_id long, text string, label int")
+    files.save_model(s.train_nb(d), str(tmp_path / "m"))
+    assert files.load_model(spark, str(tmp_path / "m")).count() == 2
+
+
+def test_quota_and_numbers(spark):
+    rows = [(i, int(i % 5 == 0)) for i in range(1000)]
+    d = spark.createDataFrame(rows, "doc_id long, label int")
+    for digits in (1, 4):
+        got = {r.doc_id for r in s.first_of_label(d, F.lit(77), digits=digits).where("first").collect()}
+        want = {i for y in (0, 1) for i in sorted((i for i, k in rows if k == y), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))[:77]}
+        assert got == want
+    got = s.numbered(d.where("doc_id % 3 = 0"), "doc_id", "number", parts=7).orderBy("doc_id").collect()
+    assert [r.number for r in got] == list(range(1, len(got) + 1))
+    assert s.stratified_split(d.limit(0)).count() == 0 and s.balanced(d.limit(0)).count() == 0
+
+
+def test_live_stream_equals_batch(spark, tmp_path):
+    rows = [(c, i, "user", ["you scum", "you are a l0ser", "hello there", "IDIOT"][(c + i) % 4]) for c in range(3) for i in range(24)]
+    d = spark.createDataFrame(rows, detect.UNITS)
+    d.union(d).repartition(3).write.parquet(str(tmp_path / "u"))
+    stream = detect.read_units(spark, str(tmp_path / "u"))
+    model = spark.createDataFrame([("zzz", 1, 1, -1.0, -1.0, -0.7, -0.7)], files.MODEL)
+    batch = s.live_verdicts(d, model, ["conv_id", "turn"])
+    assert sorted(map(repr, live.live_detections(stream, model, str(tmp_path / "v")).collect())) == sorted(map(repr, batch.collect()))
+    found = detect.detections(d)
+    live.start(live.running_log(detect.detections(stream), most=5), str(tmp_path / "g"), mode="update").awaitTermination()
+    log = {r.scope: r for r in live.present(live.written(spark, str(tmp_path / "g"), live.LOG)).collect()}
+    last = {}
+    for r in logs.running_totals(found, "conv_id", "turn").orderBy("turn").collect():
+        last[r.conv_id] = (r.total, r.aggressive, r.safe)
+    assert {k: (r.total, r.aggressive, r.safe) for k, r in log.items()} == last
+    newest = {c: [r.turn for r in logs.last_entries(found, "conv_id", "turn", 5).where(F.col("conv_id") == c).orderBy("age").collect()] for c in log}
+    assert {k: r.turns for k, r in log.items()} == newest
+
+
+def test_visits(spark, tmp_path):
+    """A visit's alert needs three flagged units of its own; a scope is warned once."""
+    rows = [(1, 0, 1, 1), (1, 0, 2, 1), (1, 1, 3, 1), (1, 1, 4, 1), (1, 1, 4, 1), (1, 1, 5, 1), (1, 2, 6, 1), (1, 2, 7, 1), (1, 2, 8, 1), (2, 0, 1, 1), (2, 0, 2, 0), (2, 0, 3, 1)]
+    schema = "conv_id long, visit long, turn long, flagged int"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "u"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "u"))
+    live.start(live.visit_alerts(stream), str(tmp_path / "a")).awaitTermination()
+    assert [(r.conv_id, r.visit, r.alert_at) for r in live.written(spark, str(tmp_path / "a"), "conv_id long, visit long, alert_at long").collect()] == [(1, 1, 5)]
+
+
+def test_fencing(spark):
+    found = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 5, "c"), (3, 1, "d")], "tab long, generation long, text string")
+    now = spark.createDataFrame([(1, 2, True), (2, 5, False), (4, 1, True)], "tab long, generation long, enabled boolean")
+    assert [r.text for r in live.fenced(found, now, "tab").collect()] == ["b"]
+
+
 def test_vocabularies_are_clean():
     assert not set(v.NEGATORS) & set(v.LEXICON) and all(w == w.lower() for w in v.STOP_WORDS)
 
