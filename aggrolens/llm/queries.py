@@ -27,7 +27,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived_pages(_table(spark, sf_dir, "pages")).drop("valid")
+    return warc.archived_pages(_table(spark, sf_dir, "pages"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

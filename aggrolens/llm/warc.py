@@ -106,26 +106,49 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_bytes
 RECORD = "record_id string, kind string, page_id long, refers_to string, digest string, origin string, segment int, total long, block binary"
 
 
-def parsed(data: bytes) -> Iterator[tuple]:
-    """The records of one archive file."""
-    if data[:2] == b"\x1f\x8b":
-        out = []
-        while data:
-            z = zlib.decompressobj(31)
+def unzipped(data: bytes) -> bytes:
+    """What the gzip members of an archive hold, as far as they can be read; other archives as they are."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        try:
             out.append(z.decompress(data))
-            data = z.unused_data
-        data = b"".join(out)
-    at = 0
+        except zlib.error:
+            break
+        data = z.unused_data
+    return b"".join(out) if out else data
+
+
+def one_record(data: bytes, at: int) -> tuple[tuple, int]:
+    """The record that begins at a place, and where it ends; ValueError if its header or length is wrong."""
+    end = data.find(END, at)
+    if end < 0 or not data.startswith(b"WARC/1.", at):
+        raise ValueError("no record header")
+    lines = data[at:end].decode(errors="replace").split("\r\n")
+    f = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    if not {"content-length", "warc-record-id", "warc-type"} <= f.keys():
+        raise ValueError("a header is missing")
+    start = end + len(END)
+    stop = start + int(f["content-length"])
+    if stop < start or stop > len(data):
+        raise ValueError("cut short")
+    number = lambda k: int(f[k]) if k in f else None
+    rid = f["warc-record-id"]
+    digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    return (rid, f["warc-type"], number("x-page-id"), f.get("warc-refers-to"), digest, f.get("warc-segment-origin-id", rid), number("warc-segment-number"), number("warc-segment-total-length"), data[start:stop]), stop + len(END)
+
+
+def parsed(data: bytes) -> Iterator[tuple]:
+    """The records of one archive file. What is no sound record, up to the next header that follows a blank line, is one of kind broken."""
+    data, at = unzipped(data), 0
     while at < len(data):
-        end = data.index(END, at)
-        lines = data[at:end].decode(errors="replace").split("\r\n")
-        f = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start = end + len(END)
-        stop = start + int(f["content-length"])
-        number = lambda k: int(f[k]) if k in f else None  # noqa: B023, E731
-        rid = f["warc-record-id"]
-        yield rid, f["warc-type"], number("x-page-id"), f.get("warc-refers-to"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, f.get("warc-segment-origin-id", rid), number("warc-segment-number"), number("warc-segment-total-length"), data[start:stop]
-        at = stop + len(END)
+        try:
+            record, at = one_record(data, at)
+        except ValueError:
+            more = data.find(END + b"WARC/1.", at)
+            stop = more + len(END) if more >= 0 else len(data)
+            record, at = (None, "broken", None, None, None, None, None, None, data[at:stop]), stop
+        yield record
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -161,26 +184,28 @@ def reassembled(recs: DataFrame) -> DataFrame:
 
 
 def payloads(whole: DataFrame) -> DataFrame:
-    """Decode the HTTP framing of response records: record_id, kind, page_id, refers_to, digest, copies, payload, valid (the digest is that of the payload)."""
+    """Decode the HTTP framing of response records: record_id, kind, page_id, refers_to, digest, copies, payload, found (the payload's own digest), valid (the digest stated is that). Broken records have neither payload nor validity."""
     names = ["record_id", "kind", "page_id", "refers_to", "digest", "copies"]
 
-    def decoded(kind: str, digest: str | None, block: bytes | None) -> tuple[bytes | None, bool]:
+    def decoded(kind: str, digest: str | None, block: bytes | None) -> tuple[bytes | None, str | None, bool]:
         if kind != "response" or block is None:
-            return None, kind == "revisit"
+            return None, None, kind == "revisit"
         try:
             data = http_payload(block)
         except ValueError:
-            return None, False
-        return data, digest is None or payload_digest(data) == digest
+            return None, None, False
+        found = payload_digest(data)
+        return data, found, digest in (None, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 x = b.slice(at, 500)
                 done = [decoded(*r) for r in zip(x.column("kind").to_pylist(), x.column("digest").to_pylist(), x.column("block").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*[x.column(n) for n in names], pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.bool_())], [*names, "payload", "valid"])
+                made = [pa.array([d[i] for d in done], k) for i, k in enumerate((pa.binary(), pa.string(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*[x.column(n) for n in names], *made], [*names, "payload", "found", "valid"])
 
-    return whole.select(*names, "block").mapInArrow(run, "record_id string, kind string, page_id long, refers_to string, digest string, copies long, payload binary, valid boolean")
+    return whole.select(*names, "block").mapInArrow(run, "record_id string, kind string, page_id long, refers_to string, digest string, copies long, payload binary, found string, valid boolean")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -191,17 +216,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def archived_pages(pages: DataFrame, **parameters) -> DataFrame:
     """Write pages to archives, read these back and say what became of each page.
 
-    Returns page_id, payload_bytes, payload_digest, record_type, refers_to, valid. A revisit's bytes are those of the
-    record that it refers to, joined by identifier. Null html: an empty payload. An empty table gives
+    Returns page_id, payload_bytes, payload_digest, record_type, refers_to, valid. Bytes and digest are those of the
+    payload read back; a revisit's are of the record that it refers to, joined by identifier. Null html: an empty payload. An empty table gives
     no rows; a repeated page gives as many. Other columns are ignored.
     """
     spark = pages.sparkSession
     path = scratch(spark)
     write(pages, path, **parameters)
-    d = saved(read(spark, path).select("record_id", "kind", "page_id", "refers_to", "digest", "copies", F.octet_length("payload").cast("long").alias("payload_bytes"), "valid"))
+    d = saved(read(spark, path).select("record_id", "kind", "page_id", "refers_to", "found", "copies", F.octet_length("payload").cast("long").alias("payload_bytes"), "valid"))
     remove(spark, path)
-    heads = saved(d.where("kind = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.first("page_id").alias("head"), F.first("payload_bytes").alias("head_bytes")))
+    heads = saved(d.where("kind = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.first("page_id").alias("head"), F.first("payload_bytes").alias("head_bytes"), F.first("found").alias("head_found")))
     again = d.where("kind = 'revisit'").drop("payload_bytes").join(heads, "refers_to", "left")
     done = d.where("kind = 'response'").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    done = done.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "valid")
-    return done.unionByName(again.select("page_id", F.col("head_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), F.col("head").alias("refers_to"), (F.col("valid") & F.col("head").isNotNull()).alias("valid")))
+    done = done.select("page_id", "payload_bytes", F.col("found").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "valid")
+    return done.unionByName(again.select("page_id", F.col("head_bytes").alias("payload_bytes"), F.col("head_found").alias("payload_digest"), F.lit("revisit").alias("record_type"), F.col("head").alias("refers_to"), (F.col("valid") & F.col("head").isNotNull()).alias("valid")))

@@ -1,6 +1,7 @@
 """WARC, vectors, curves, components and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import random
@@ -45,6 +46,18 @@ def test_warc_payloads_and_damage(spark, tmp_path):
     assert {r.page_id: r.valid for r in broken} == {1: False, 2: True}
 
 
+@pytest.mark.parametrize("harm", ["header", "length", "cut", "noise", "gzip"])
+def test_warc_of_broken_records(harm):
+    """A broken record is one row of its own, and those around it are read."""
+    one = lambda i, body, length=None: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nX-Page-Id: %d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, i, len(body) if length is None else length, body)
+    a, b, c = one(1, b"first"), one(2, b"second"), one(3, b"third")
+    data = {"header": a + b.replace(b"WARC-Type: response\r\n", b"") + c, "length": a + b.replace(b"Content-Length: 6", b"Content-Length: six") + c, "cut": a + b + c[:-9], "noise": a + b"rubbish\r\n\r\n" + c, "gzip": gzip.compress(a) + gzip.compress(c)[:-3] + b"x"}[harm]
+    kinds = [(r[1], r[2]) for r in warc.parsed(data)]
+    want = {"cut": [("response", 1), ("response", 2), ("broken", None)], "gzip": [("response", 1), ("response", 3)]}
+    assert kinds == want.get(harm, [("response", 1), ("broken", None), ("response", 3)]) or (harm == "gzip" and kinds == [("response", 1)])
+    assert all(r[-1] is not None for r in warc.parsed(data))
+
+
 def test_chunks():
     for n in (0, 1, 299, 300, 301, 5000):
         b = bytes(range(256)) * 20
@@ -172,6 +185,45 @@ def test_near_duplicate_rows(spark):
     assert len([x for x in got if x[1] == "none"]) == sum(not x for x in sets)
 
 
+def stage_rows(spark, n=1):
+    """Rows with null and repeated ids, empty, null and long texts, copies and a secret."""
+    w = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:39], "x"])), (2, "an other text of the same id"), (None, " ".join(w)), (None, "a null id"), (3, ""), (4, None), (5, "password = hunter2hunter2"), (6, "x" * 300_000), (7, "word " * 60_000)]
+    return spark.createDataFrame([(i, t, "en", ["a", "b", None][k % 3], -1) for k, (i, t) in enumerate(rows * n)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Each stage alone against what it should do row by row; toxic words are planted for the first."""
+    import corpus_pipeline as p
+
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(100, 400)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    r, say = random.Random(3), [f"plain{i}" for i in range(300)]
+    made = [(i, " ".join(r.choices(say, k=30) + (["vileword", r.choice(say), "vileword"] if i % 3 == 0 else [])), "en", "a", 1) for i in range(100, 400)]
+    odd = stage_rows(spark)
+    docs = odd.union(spark.createDataFrame(made, odd.schema))
+    left = p.toxicity_stage(spark, docs, str(tmp_path)).collect()
+    gone = {i for i, *_ in made} - {x.doc_id for x in left}
+    assert gone == {i for i, *_ in made if i % 3 == 0} and len(left) == docs.count() - len(gone)
+    kept = sorted(((x.doc_id, x.text) for x in p.near_duplicate_stage(spark, odd, SF).collect()), key=repr)
+    w = " ".join(f"w{i}" for i in range(40))
+    assert kept == sorted([(x.doc_id, x.text) for x in odd.collect() if x.text is None or not (x.text.startswith("w0") and (x.doc_id, x.text) != (1, w))], key=repr)
+    found = p.secret_stage(spark, odd, SF).collect()
+    assert len(found) == odd.count() and [x.text for x in found if x.doc_id == 5] == ["[SECRET]"]
+    assert sorted(repr((x.doc_id, x.text)) for x in found if x.doc_id != 5) == sorted(repr((x.doc_id, x.text)) for x in odd.collect() if x.doc_id != 5)
+    assert all(x.n_chars == len(x.text or "") or x.n_chars == -1 or x.text is None for x in found)
+    mixed = p.mixing_stage(spark, odd, SF)
+    taken, texts = mixed.collect(), {x.text for x in odd.collect() if (x.text or "").split()}
+    whole = [x for x in taken if x.text in texts]
+    assert whole and all(any(x.text in t for t in texts) for x in taken)
+    coded = p.encoding_stage(spark, odd, SF).collect()
+    assert len(coded) == odd.count() and {x.n_tokens for x in coded if x.doc_id in (3, 4)} == {0}
+    for _, stage in p.STAGES:
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
+    extra = odd.withColumn("n", F.lit(1)).withColumn("component_id", F.lit(2)).withColumn("_row", F.lit(3))
+    assert sorted(repr(x.doc_id) for x in p.near_duplicate_stage(spark, extra, SF).collect() if (x["_row"], x["n"]) == (3, 1)) == sorted(repr(i) for i, _ in kept)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
