@@ -27,11 +27,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by a key of their own, as doc_ids can be null or occur with several texts.
     """
-    rows = common.saved(docs.withColumn("_row", F.monotonically_increasing_id()))
-    ids = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row")).alias("doc_id"), "text")
+    row = "_row" + "_" * max(map(len, docs.columns))  # no column of docs
+    rows = common.saved(docs.withColumn(row, F.monotonically_increasing_id()))
+    ids = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row")).alias("doc_id"), "text")
     found = jaccard_join.similar_documents(ids, size=5, percent=80)
-    gone = common.saved(found.where("n_shingles > 0 and doc_id.row <> component_id.row").select(F.col("doc_id.row").alias("_row")))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    gone = common.saved(found.where("n_shingles > 0 and doc_id.row <> component_id.row").select(F.col("doc_id.row").alias(row)))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
