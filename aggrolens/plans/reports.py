@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT as C
@@ -234,3 +235,55 @@ def explain_live_top6(spark, sf):
     tk = tk.withColumn("order", F.round(F.abs("push"), 9))
     top = report.last_of(tk, "doc_id", [F.desc("order"), F.col("token")], 6)
     return top.select("doc_id", "token", F.round("push", 6).alias("push"), F.col("age").cast("long").alias("rank"))
+
+
+_HARSH = f"hw AS (SELECT word FROM (SELECT unnest({q.lst(list(v.LEXICON))}) AS word) WHERE length(word) >= 4 AND {q.case_map(v.LEXICON, 'word')} <= -2)"
+
+
+@query(
+    f"""WITH {_HARSH}, sp AS (SELECT word, unnest(list_transform(range(1, length(word)), lambda i: word[1:i - 1] || word[i + 1] || word[i] || word[i + 2:])) AS variant FROM hw WHERE length(word) >= 5
+UNION ALL SELECT word, unnest(list_transform(range(2, length(word)), lambda i: word[1:i - 1] || word[i + 1:])) FROM hw WHERE length(word) >= 6
+UNION ALL SELECT word, regexp_replace(word, '[aeiou]', '', 'g') FROM hw),
+dv AS (SELECT DISTINCT variant, word FROM sp WHERE variant <> word AND length(variant) >= 4 AND NOT list_contains({q.lst(list(v.LEXICON))}, variant) AND NOT list_contains({q.lst(v.RECOVERY_SAFE)}, variant))
+SELECT variant, word, count(*) OVER (PARTITION BY variant) AS words FROM dv"""
+)
+def recovery_index(spark, sf):
+    rows = [(x, w) for x, ws in sorted(n.recovery().items()) for w in sorted(ws)]
+    d = spark.createDataFrame(rows, "variant string, word string")
+    return d.withColumn("words", F.count("*").over(W.partitionBy("variant")))
+
+
+@query(
+    f"""WITH {_HARSH}, tk AS (SELECT DISTINCT word[1] || regexp_replace(word[2:length(word) - 1], '[aeiou]', '*', 'g') || word[-1] AS token FROM hw WHERE length(word) >= 5),
+ok AS (SELECT token FROM tk WHERE contains(token, '*') AND length(replace(token, '*', '')) >= 2),
+m AS (SELECT token, hw.word FROM ok JOIN hw ON length(hw.word) = length(token) AND hw.word LIKE replace(token, '*', '_'))
+SELECT token, min(word) AS word FROM m GROUP BY token HAVING count(*) = 1"""
+)
+def masked_words(spark, sf):
+    words = spark.createDataFrame([(w,) for w in n.harsh_words()], "word string")
+    inner = F.regexp_replace(F.expr("substring(word, 2, length(word) - 2)"), "[aeiou]", "*")
+    tokens = words.where("length(word) >= 5").select(F.concat(F.substring("word", 1, 1), inner, F.expr("right(word, 1)")).alias("token")).distinct()
+    return report.unmasked(tokens, words)
+
+
+@query(
+    f"""WITH {DAMPENED}, tp AS (SELECT lk.doc_id, m.ll1 - m.ll0 AS push FROM (SELECT DISTINCT doc_id, token FROM live) lk JOIN lmodel m ON m.token = lk.token)
+SELECT doc_id, round(coalesce(sum(push) FILTER (push > 0), 0), 4) AS aggressive, round(coalesce(-sum(push) FILTER (push < 0), 0), 4) AS safe, count(*) AS tokens FROM tp GROUP BY doc_id"""
+)
+def push_totals(spark, sf):
+    """How far each text's different live tokens push to either class."""
+    m = live_model(spark, sf).select("token", (F.col("ll1") - F.col("ll0")).alias("push"))
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(F.array_distinct(t.live_tokens(F.col("text")))).alias("token")).join(m, "token")
+    side = lambda sign: F.round(F.coalesce(sign * F.sum(F.when(sign * F.col("push") > 0, F.col("push"))), F.lit(0.0)), 4)
+    return d.groupBy("doc_id").agg(side(1).alias("aggressive"), side(-1).alias("safe"), F.count("*").alias("tokens"))
+
+
+@query(
+    """WITH a AS (SELECT o_orderstatus AS dimension, o_custkey % 5 AS item, 5 - CAST(substr(o_orderpriority, 1, 1) AS INT) AS level FROM orders WHERE substr(o_orderpriority, 1, 1) < '5'),
+i AS (SELECT dimension, item, count(*) AS n, floor(sum(level)::DOUBLE / count(*) * 100 + 0.5) / 100 AS mean FROM a GROUP BY ALL)
+SELECT dimension, count(*) AS items, floor(round(avg(mean) * 100, 6) + 0.5) / 100 AS mean, count(DISTINCT n) = 1 AS same_n FROM i GROUP BY dimension"""
+)
+def likert_dimensions(spark, sf):
+    d = table(spark, sf, "orders").withColumn("level", F.substring("o_orderpriority", 1, 1)).where("level < '5'")
+    answers = d.select(F.col("o_orderstatus").alias("dimension"), (F.col("o_custkey") % 5).alias("item"), (5 - F.col("level").cast("int")).alias("level"))
+    return report.dimension_means(answers)

@@ -36,13 +36,6 @@ def normalize_text(spark, sf):
     return d.select("doc_id", n.normalise(F.col("text")).alias("text"))
 
 
-@query()
-def recovery_index(spark, sf):
-    rows = [(x, w) for x, ws in sorted(n.recovery().items()) for w in sorted(ws)]
-    d = spark.createDataFrame(rows, "variant string, word string")
-    return d.withColumn("words", F.count("*").over(W.partitionBy("variant")))
-
-
 @query()
 def mask_segments(spark, sf):
     d = table(spark, sf, "documents").where(s.listed(F.col("text"), v.BLOCKLIST) & s.listed(F.col("text"), v.WHITELIST))
