@@ -46,10 +46,10 @@ def live_verdicts_by_mode(spark, sf):
 
 @query
 def live_page_alerts(spark, sf):
-    """The document whose flag is a source's third, where every source is a page."""
+    """The document whose flag is a language's third, where every language is a page."""
     d = table(spark, sf, "documents").dropDuplicates(["doc_id"])
-    found = s.live_verdicts(d.withColumn("source", F.coalesce("source", F.lit(""))), live_model(spark, sf), ["source", "doc_id"])
-    return logs.page_alerts(found.withColumn("unit", F.col("doc_id")), "source", "doc_id", "unit")
+    found = s.live_verdicts(d.withColumn("lang", F.coalesce("lang", F.lit(""))), live_model(spark, sf), ["lang", "doc_id"])
+    return logs.page_alerts(found.withColumn("unit", F.col("doc_id")), "lang", "doc_id", "unit")
 
 
 def stream(spark, sf):
