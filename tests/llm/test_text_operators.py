@@ -190,8 +190,9 @@ def brute_repeats(texts, length=200):
         yield len(t), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest()
 
 
-@pytest.mark.parametrize("indexed", [40_000, 1])
-def test_repeats(spark, texts, indexed):
+@pytest.mark.parametrize("indexed,often", [(40_000, 500), (1, 500), (40_000, 2)])
+def test_repeats(spark, texts, monkeypatch, indexed, often):
+    monkeypatch.setattr(repeats, "OFTEN", often)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(table(spark, texts, extra=True), indexed=indexed).collect()}
     for i, want in enumerate(brute_repeats([(t or "").encode() for t in texts])):
         assert got[i] == want, i
@@ -216,8 +217,12 @@ def test_repeats_of_nothing(spark):
     assert repeats.without_repeats(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
-def test_jaccard(spark, texts, size, percent):
+@pytest.mark.parametrize("size,percent,hot", [(3, 90, 256), (5, 80, 256), (5, 80, 4)])
+def test_jaccard(spark, texts, monkeypatch, size, percent, hot):
+    """With hot at 4, shared shingles are put last in further rounds, buckets of over two groups have one pivot and the rest go by blocks of two."""
+    if hot == 4:
+        for name, x in (("HOT", hot), ("PIVOTS", 1), ("BLOCK", 2)):
+            monkeypatch.setattr(jaccard_join, name, x)
     sets = []
     for t in texts:
         x = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
