@@ -83,6 +83,12 @@ def respelled(token: str) -> str:
     return v.ABUSE_TYPOS.get(token) or only(recovery().get(token, ())) or unmasked(token) or token
 
 
+@lru_cache(1)
+def respellable() -> frozenset[str]:
+    """Unmasked tokens that respelled() makes, or leaves, a lexicon word."""
+    return frozenset([*v.LEXICON, *v.ABUSE_TYPOS, *(x for x, words in recovery().items() if len(words) == 1)])
+
+
 def folded(token: str) -> str:
     """A token in plain letters: marks dropped, look-alikes replaced."""
     return "".join(LOOKS.get(c, c) for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c))
@@ -98,7 +104,11 @@ def revealed(token: str) -> str:
     low = token.lower()
     if low in v.LEXICON or low in v.RECOVERY_SAFE:
         return token
-    plain = low if low.isascii() and low.isalpha() else folded(low)
+    plain = low
+    if not low.isascii() or not low.isalpha():
+        plain = folded(low)
+    elif low not in respellable() and REPEATED.sub(r"\1", low) not in respellable():
+        return token
     found = {respelled(x) for x in (low, plain, REPEATED.sub(r"\1", plain))}
     word = only({w for w in found if v.LEXICON.get(w, 0) <= HARSH and (len(w) >= 4 or w in v.SHORT_ABUSE)})
     return cased(word, token) if word else token
@@ -151,6 +161,8 @@ def joined(text: str) -> str:
 
 @lru_cache(1 << 16)
 def _typed(token: str) -> str:
+    if token.isalpha() and token.lower() not in respellable():
+        return token
     word = respelled(token.lower())
     return token if word == token.lower() else cased(word, token)
 
