@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, jaccard_join, mixing, prefix_trie, repeats, secrets, sharding, toxicity, warc, whitening
+from . import ann, bpe, embedding_dedup, jaccard_join, mixing, prefix_trie, quality, repeats, secrets, sharding, toxicity, warc, whitening
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -67,11 +67,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_warc_segments, op3_secret_scan, op4_compression_toxicity, op5_repeated_strings, op6_jaccard_components, op7_embedding_near_dedup, op8_histogram_sharding, op9_curve_neighbours, op10_bpe_codec, op11_whitening, op13_prefix_trie)
+    f.__name__: f for f in (op1_source_mixing, op2_warc_segments, op3_secret_scan, op4_compression_toxicity, op5_repeated_strings, op6_jaccard_components, op7_embedding_near_dedup, op8_histogram_sharding, op9_curve_neighbours, op10_bpe_codec, op11_whitening, op12_additive_quality, op13_prefix_trie)
 }
 ORACLE_SQL: dict[str, str] = {}
