@@ -49,7 +49,7 @@ def test_features_are_numbers(text):
     f = dict(zip(quality.FEATURES, quality.features(text), strict=True))
     assert all(map(math.isfinite, f.values()))
     if text.startswith("Ab"):
-        assert f["distinct_lines"] == 0.5 and f["upper"] == 8 / 12 and f["digits"] == 2 / len(text) and f["distinct_words"] == 5 / 8
+        assert f["distinct_lines"] == 2 / 3 and f["upper"] == 6 / 12 and f["digits"] == 2 / len(text) and f["distinct_words"] == 5 / 8
 
 
 def test_query(spark):
