@@ -18,15 +18,16 @@ from . import vocab as v
 LOOKS = {"0": "o", "1": "i", "!": "i", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "8": "b", "\u0430": "a", "\u0435": "e", "\u0456": "i", "\u043e": "o", "\u0455": "s", "\u0442": "t", "\u03c5": "u", "\u0441": "c", "\u0440": "p", "\u0445": "x", "\u0443": "y"}
 HIDERS = "*#_"
 INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]")
+#: Most letters between the ends of a disguised word and of a plain slip; the valence from which a word counts as harsh.
+DISGUISED_MOST, PLAIN_MOST, HARSH = 38, 18, -2.0
 #: A letter or digit, and no letter or digit before or after.
 SIGN = r"[^\W_]"
 START, END = rf"(?<!{SIGN})", rf"(?!{SIGN})"
 MARK = re.compile("[\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u064b-\u065f\u0900-\u0903\u093a-\u094f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 MARKED = re.compile(rf"\w+(?:{MARK.pattern}\w*)+")
-DISGUISED = re.compile(rf"{START}{SIGN}[\w!*#@$]{{1,38}}{SIGN}{END}")
-PLAIN = re.compile(rf"{START}[a-z][a-z*#_]{{2,18}}[a-z]{END}", re.I)
+DISGUISED = re.compile(rf"{START}{SIGN}[\w!*#@$]{{1,{DISGUISED_MOST}}}{SIGN}{END}")
+PLAIN = re.compile(rf"{START}[a-z][a-z*#_]{{2,{PLAIN_MOST}}}[a-z]{END}", re.I)
 REPEATED = re.compile(r"([a-z])\1+")
-HARSH = -2.0
 
 
 @lru_cache(1)
@@ -167,6 +168,9 @@ def _typed(token: str) -> str:
     return token if word == token.lower() else cased(word, token)
 
 
+v.FORGOTTEN += [f.cache_clear for f in (harsh_words, recovery, _by_length, respellable, revealed, separated, _typed)]
+
+
 def normalised(text: str) -> str:
     """The text with compatibility forms, invisible characters and disguises of harsh words undone; other words stay as they are.
 
@@ -189,8 +193,11 @@ def _or_none(text: str) -> str | None:
 def normalise(text: Column) -> Column:
     """normalised(), Arrow batch by batch; nulls stay, and a text that can't be normalised becomes one. Keep cheap filters ahead of it."""
 
+    lexicon = dict(v.LEXICON)
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        v.use(lexicon)
         for b in batches:
             yield b.map(_or_none, na_action="ignore")
 

@@ -16,9 +16,13 @@ from aggrolens.sources import files
 from aggrolens.streaming import detect, live
 
 
-def scores(spark, texts):
+#: A lexicon that a caller passes.
+PASSED = {"worthless": -3.3, "idiot": -3.1, "stupid": -2.9, "moron": -3.0, "pathetic": -2.8, "great": 3.1}
+
+
+def scores(spark, texts, lexicon=PASSED):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r.lex for r in s.score_lexicon(d).orderBy("doc_id").collect()]
+    return [r.lex for r in s.score_lexicon(d, lexicon=lexicon).orderBy("doc_id").collect()]
 
 
 @pytest.mark.parametrize(
@@ -42,6 +46,19 @@ def test_valence(spark, text, value):
         assert got == pytest.approx(value, abs=1e-4)
 
 
+def test_another_lexicon(spark):
+    """use() reaches scores, recovery and the normaliser's workers, and is undone by the default."""
+    default = dict(v.LEXICON)
+    try:
+        v.use({"zorbish": -3.0, "fine": 2.0})
+        assert n.normalised("you z0rb1sh, st*pid") == "you zorbish, st*pid"
+        d = spark.createDataFrame([(1, "you zrobish"), (2, "you stupid")], "doc_id long, text string").select("doc_id", n.normalise(F.col("text")).alias("text"))
+        assert [(r.text, r.lex > 0.5) for r in s.score_lexicon(d).orderBy("doc_id").collect()] == [("you zorbish", True), ("you stupid", False)]
+    finally:
+        v.use(default)
+    assert n.normalised("st*pid") == "stupid"
+
+
 def test_emphasis(spark):
     plain, loud, marked, four, nine = scores(spark, ["you idiot", "you IDIOT", "you idiot!", "you idiot!!!!", "you idiot!!!!!!!!!"])
     assert plain < loud and plain < marked < four == nine
