@@ -111,15 +111,6 @@ def highlights(hits: DataFrame, tokens: DataFrame, model: DataFrame, texts: Data
     return out.distinct()
 
 
-def unmasked(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """token and word where exactly one word of the same length fits a token whose hidden letters are * # or _. At least five letters, two of them in sight."""
-    hidden = F.translate("token", "*#", "__")
-    sound = (F.length("token") >= 5) & F.contains(hidden, F.lit("_")) & (F.length(F.replace(hidden, F.lit("_"), F.lit(""))) >= 2)
-    t_ = tokens.where(sound).select("token", hidden.alias("shape"), F.length("token").alias("n"))
-    fits = t_.join(words.select("word", F.length("word").alias("n")), "n").where("word like shape")
-    return fits.groupBy("token").agg(F.count("*").alias("c"), F.min("word").alias("word")).where("c = 1").drop("c")
-
-
 def half_up(x: Column, digits: int = 2) -> Column:
     """Rounded with halves up; what binary fractions are off by is taken out first."""
     return F.floor(F.round(x * 10**digits, 6) + 0.5) / 10**digits

@@ -164,11 +164,6 @@ def word_polarity(spark, sf):
     return words.select("word", F.col("word").isin(t.praise()).alias("positive"))
 
 
-@query(f"SELECT row_number() OVER (ORDER BY length(word) DESC, word) AS place, word FROM (SELECT unnest({q.lst(list(v.LEXICON))}) AS word) WHERE length(word) >= 4 AND {q.case_map(v.LEXICON, 'word')} <= -2")
-def recovery_order(spark, sf):
-    return spark.createDataFrame([(i + 1, w) for i, w in enumerate(n.harsh_words())], "place long, word string")
-
-
 CASES = {"insult": ["you are an idiot", "what a worthless loser"], "praise": ["you are wonderful", "what a great day"], "negated": ["you are not stupid", "not a good person"], "plain": ["see you at noon", "the train is late"]}
 LONG = ["you are stupid", "have a nice day", "word", "no"]
 
@@ -237,35 +232,6 @@ def explain_live_top6(spark, sf):
     return top.select("doc_id", "token", F.round("push", 6).alias("push"), F.col("age").cast("long").alias("rank"))
 
 
-_HARSH = f"hw AS (SELECT word FROM (SELECT unnest({q.lst(list(v.LEXICON))}) AS word) WHERE length(word) >= 4 AND {q.case_map(v.LEXICON, 'word')} <= -2)"
-
-
-@query(
-    f"""WITH {_HARSH}, sp AS (SELECT word, unnest(list_transform(range(1, length(word)), lambda i: word[1:i - 1] || word[i + 1] || word[i] || word[i + 2:])) AS variant FROM hw WHERE length(word) >= 5
-UNION ALL SELECT word, unnest(list_transform(range(2, length(word)), lambda i: word[1:i - 1] || word[i + 1:])) FROM hw WHERE length(word) >= 6
-UNION ALL SELECT word, regexp_replace(word, '[aeiou]', '', 'g') FROM hw),
-dv AS (SELECT DISTINCT variant, word FROM sp WHERE variant <> word AND length(variant) >= 4 AND NOT list_contains({q.lst(list(v.LEXICON))}, variant) AND NOT list_contains({q.lst(v.RECOVERY_SAFE)}, variant))
-SELECT variant, word, count(*) OVER (PARTITION BY variant) AS words FROM dv"""
-)
-def recovery_index(spark, sf):
-    rows = [(x, w) for x, ws in sorted(n.recovery().items()) for w in sorted(ws)]
-    d = spark.createDataFrame(rows, "variant string, word string")
-    return d.withColumn("words", F.count("*").over(W.partitionBy("variant")))
-
-
-@query(
-    f"""WITH {_HARSH}, tk AS (SELECT DISTINCT word[1] || regexp_replace(word[2:length(word) - 1], '[aeiou]', '*', 'g') || word[-1] AS token FROM hw WHERE length(word) >= 5),
-ok AS (SELECT token FROM tk WHERE contains(token, '*') AND length(replace(token, '*', '')) >= 2),
-m AS (SELECT token, hw.word FROM ok JOIN hw ON length(hw.word) = length(token) AND hw.word LIKE replace(token, '*', '_'))
-SELECT token, min(word) AS word FROM m GROUP BY token HAVING count(*) = 1"""
-)
-def masked_words(spark, sf):
-    words = spark.createDataFrame([(w,) for w in n.harsh_words()], "word string")
-    inner = F.regexp_replace(F.expr("substring(word, 2, length(word) - 2)"), "[aeiou]", "*")
-    tokens = words.where("length(word) >= 5").select(F.concat(F.substring("word", 1, 1), inner, F.expr("right(word, 1)")).alias("token")).distinct()
-    return report.unmasked(tokens, words)
-
-
 @query(
     f"""WITH {DAMPENED}, tp AS (SELECT lk.doc_id, m.ll1 - m.ll0 AS push FROM (SELECT DISTINCT doc_id, token FROM live) lk JOIN lmodel m ON m.token = lk.token)
 SELECT doc_id, round(coalesce(sum(push) FILTER (push > 0), 0), 4) AS aggressive, round(coalesce(-sum(push) FILTER (push < 0), 0), 4) AS safe, count(*) AS tokens FROM tp GROUP BY doc_id"""

@@ -13,7 +13,7 @@ from ..config import DEFAULT
 from ..functions import text as t
 from ..functions import vocab as v
 from ..operators import scoring as s
-from .live import shared_path
+from ..storage import shared_path
 
 UNITS = "conv_id long, turn long, role string, text string"
 

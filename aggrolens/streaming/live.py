@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,17 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULT
 from ..operators import scoring as s
+from ..storage import shared_path  # noqa: F401
 
 #: How often page changes are gathered.
 CADENCE = "400 milliseconds"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir or, where that is unset, in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def start(stream: DataFrame, path: str, each: Callable[[DataFrame], DataFrame] | None = None, once: bool = True, mode: str = "append", cadence: str = CADENCE) -> StreamingQuery:
     """Write a stream batch by batch under path, through `each` if given. A batch that runs again overwrites its own folder, so every row is there once.
 
