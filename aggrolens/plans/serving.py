@@ -9,10 +9,10 @@ from ..config import DEFAULT as C
 from ..functions import normalise as n
 from ..functions import text as t
 from ..functions import vocab as v
-from ..operators import lists, logs, pages
+from ..operators import lists, logs, nodes, pages
 from ..operators import scoring as s
 from ..sources import files
-from ..streaming import detect
+from ..streaming import changes, detect
 from . import sql as q
 from .detection import split, table
 
@@ -83,6 +83,18 @@ def page_captions(spark, sf):
     return pages.readable_units(u).groupBy("page_id", "time_kind").agg(F.count("*").alias("n"))
 
 
+@query()
+def page_caption_walk(spark, sf):
+    """Each text that is shown and whether the nearest time in the tree before it tells a comment or a caption."""
+    return nodes.with_time_before(nodes.nodes(table(spark, sf, "pages")))
+
+
+@query()
+def stream_subtree_scans(spark, sf):
+    """Texts that a stream of the pages' change records makes scanned, each once."""
+    return changes.scan_changes(table(spark, sf, "pages"))
+
+
 HOST = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\\.', '')"
 PATH = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)', 1)"
 _STRICT = " OR ".join(["h = ''", *(f"h = '{x}' OR ends_with(h, '.{x}')" for x in v.PRIVATE_HOSTS), *(f"((h = '{x}' OR ends_with(h, '.{x}')) AND starts_with(lower(p), '{y}'))" for x, y in v.PRIVATE_PATHS)])
