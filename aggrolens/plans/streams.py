@@ -36,12 +36,13 @@ _GAP = "4 hours"
 @query(
     f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL {_GAP} THEN 0 ELSE 1 END AS opens FROM events),
 n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g)
-SELECT user_id AS scope, min(ts) AS first_at, max(ts) + INTERVAL {_GAP} AS closes_at, count(*) AS records, count(*) FILTER (event_type = 'error') AS errors FROM n GROUP BY user_id, burst"""
+SELECT user_id AS scope, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') AS first_at, strftime(max(ts) + INTERVAL {_GAP}, '%Y-%m-%dT%H:%M:%S.%f') AS closes_at, count(*) AS records, count(*) FILTER (event_type = 'error') AS errors FROM n GROUP BY user_id, burst"""
 )
 def scan_bursts(spark, sf):
     """Bursts of a user's events, each with the time at which it is scanned: four quiet hours after its last event."""
     d = table(spark, sf, "events").withColumnRenamed("user_id", "scope")
-    return quiet.bursts(d, "scope", "ts", _GAP, errors=F.count_if(F.col("event_type") == "error"))
+    found = quiet.bursts(d, "scope", "ts", _GAP, errors=F.count_if(F.col("event_type") == "error"))
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") for c in ("first_at", "closes_at")})
 
 
 @query()
