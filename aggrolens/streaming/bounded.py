@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def once(units: DataFrame, key: list[str], at: str, late: str = "10 minutes") -> DataFrame:
     """A stream's units, each key once. A key is remembered until the newest unit is `late` past it, so the state grows with the pace of a stream and not with its age; what comes later than that is dropped and counted (see late_rows)."""
-    return units.withWatermark(at, late).dropDuplicatesWithinWatermark(key)
+    return units.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(key)
 
 
 def late_rows(query: StreamingQuery) -> int:

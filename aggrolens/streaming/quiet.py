@@ -24,7 +24,7 @@ def bursts(events: DataFrame, scope: str, at: str, quiet: str = f"{QUIET_MS} mil
     Batch or stream; a stream needs `late`, how far behind its newest record one may come, and gives
     a burst when no such record can extend it. Session windows: sums are combined before the shuffle.
     """
-    d = events if late is None else events.withWatermark(at, late)
+    d = events if late is None else events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
     w = d.groupBy(scope, F.session_window(at, quiet)).agg(F.count("*").alias("records"), *[c.alias(k) for k, c in values.items()])
     return w.select(scope, F.col("session_window.start").alias("first_at"), F.col("session_window.end").alias("closes_at"), "records", *values)
 
