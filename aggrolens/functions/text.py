@@ -45,7 +45,7 @@ def content_tokens(text: Column) -> Column:
 
 
 def live_words(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z\s]", ""), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(F.lower(text), f"[^a-z{v.BLANKS}]", ""), f"[{v.BLANKS}]+"), lambda w: w != "")
 
 
 def marked_words(words: Column) -> Column:

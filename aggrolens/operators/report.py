@@ -92,7 +92,7 @@ def highlights(hits: DataFrame, tokens: DataFrame, model: DataFrame, texts: Data
     hits: key, word, valence, negated of lexicon words; tokens: key, token as Naive Bayes sees them; texts: key, text.
     With only_triggers: key, trigger of the negations alone. Function words are never shown, nor are words of positive valence for Naive Bayes' sake.
     """
-    push = tokens.where("token is not null").distinct().join(model.where("ll1 > ll0").select("token"), "token")
+    push = tokens.where("token is not null").select(key, "token").distinct().join(model.where("ll1 > ll0").select("token"), "token")
     push = push.where(~F.startswith(F.col("token"), F.lit("cue_"))).select(key, F.startswith(F.col("token"), F.lit("not_")).alias("negated"), F.regexp_replace("token", "^not_", "").alias("word")).where(~F.col("word").isin(v.FUNCTION_WORDS))
     hits = hits.where(~F.col("word").isin(v.FUNCTION_WORDS))
     negated = push.where("negated").select(key, "word").union(hits.where("negated").select(key, "word")).distinct()

@@ -88,16 +88,16 @@ def score_nb(docs: DataFrame, model: DataFrame, tokens: Column | None = None, ke
 
 
 def page_tokens(docs: DataFrame, text: str, key: list[str]) -> DataFrame:
-    """key and token of each live token that counts: a swear before praise and casual words don't. Texts without any keep a row with a null."""
+    """key, place (from 0, null for a text without tokens) and token of each live token that counts: a swear before praise and casual words don't. Texts without any keep a row with a null."""
 
     def praised(words: Column) -> Column:
         pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.when(a.isin(v.SWEARS) & b.isin(t.praise()), a))
         return F.when(t.any_in(words, v.SWEARS), F.get(F.array_compact(pairs), F.lit(0)))
 
     d = docs.select(*key, t.let(t.letter_words(F.col(text)), praised).alias("_swear"), t.live_tokens(F.col(text)).alias("_tokens"))
-    d = d.select(*key, "_swear", F.explode_outer("_tokens").alias("token"))
+    d = d.select(*key, "_swear", F.posexplode_outer("_tokens").alias("place", "token"))
     counts = ~F.col("token").isin(v.CASUAL) & ~F.coalesce(F.col("token") == F.col("_swear"), F.lit(False))
-    return d.select(*key, F.when(counts, F.col("token")).alias("token"))
+    return d.select(*key, "place", F.when(counts, F.col("token")).alias("token"))
 
 
 def dampened_nb(docs: DataFrame, model: DataFrame, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:

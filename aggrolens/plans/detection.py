@@ -117,7 +117,7 @@ def nb_predictions(spark, sf):
     return p.select("doc_id", "predicted", F.when(F.col("predicted") == 1, "aggressive").otherwise("safe").alias("class"))
 
 
-LIVE = f"""words AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z\\s]', '', 'g'), '\\s+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL),
+LIVE = f"""words AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z{v.BLANKS}]', '', 'g'), '[{v.BLANKS}]+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL),
 u AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM words),
 n AS (SELECT *, list_contains({q.lst(v.NB_NEGATORS)}, w) AS neg FROM u),
 o AS (SELECT *, sum(CASE WHEN neg THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS ord FROM n),

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT as C
-from ..functions import normalise as n
 from ..functions import render as r
 from ..functions import text as t
 from ..functions import vocab as v
-from ..operators import pages, report
+from ..operators import explain, pages, report
 from ..operators import scoring as s
+from ..storage import stored
 from . import sql as q
 from .detection import DAMPENED, live_model, split, table
 from .serving import FOUND, HOST, found
@@ -45,10 +44,10 @@ def log_filter(spark, sf):
 
 @query(
     f"""WITH {LOG} SELECT conv_id, turn, lpad(CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS VARCHAR), 3, '0') AS number, CASE WHEN flagged = 1 THEN 'BLOCKED' ELSE 'SAFE' END AS verdict,
-printf('%.1f%%', round(score * 100, 1)) AS percentage, 'HYBRID' AS mode FROM lg"""
+printf('%.1f%%', round(score * 100, 1)) AS percentage, 'LEXICON' AS mode FROM lg"""
 )
 def log_report(spark, sf):
-    d = log(spark, sf).withColumn("mode", F.lit("hybrid"))
+    d = log(spark, sf).withColumn("mode", F.lit("lexicon"))
     return report.report_rows(d, "conv_id", "turn").drop("text")
 
 
@@ -150,11 +149,14 @@ def latest_settings(spark, sf):
     return report.latest_settings(d.select(F.col("user_id").alias("key"), value.alias("value"), F.col("event_id").alias("seq")))
 
 
-@query("SELECT saved, expert, CASE WHEN expert AND saved IN ('hybrid', 'nb', 'lexicon') THEN saved ELSE 'hybrid' END AS mode FROM (SELECT unnest(['hybrid', 'nb', 'lexicon', 'vote', NULL]) AS saved), (SELECT unnest([true, false]) AS expert)")
+_SAVED = "CASE event_type WHEN 'view' THEN 'hybrid' WHEN 'click' THEN 'nb' WHEN 'purchase' THEN 'lexicon' WHEN 'signup' THEN 'vote' END"
+
+
+@query(f"SELECT saved, expert, CASE WHEN expert AND saved IN ('hybrid', 'nb', 'lexicon') THEN saved ELSE 'hybrid' END AS mode, count(*) AS n FROM (SELECT {_SAVED} AS saved, event_id % 2 = 0 AS expert FROM events) GROUP BY ALL")
 def resolved_modes(spark, sf):
-    saved = spark.createDataFrame([(x,) for x in (*report.MODES, "vote", None)], "saved string")
-    d = saved.select("saved", F.explode(F.array(F.lit(True), F.lit(False))).alias("expert"))
-    return d.withColumn("mode", report.resolved_mode(F.col("saved"), F.col("expert")))
+    """The mode that each event's saved one comes to, every second user in the expert view."""
+    d = table(spark, sf, "events").select(F.expr(_SAVED).alias("saved"), (F.col("event_id") % 2 == 0).alias("expert"))
+    return d.groupBy("saved", "expert", report.resolved_mode(F.col("saved"), F.col("expert")).alias("mode")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {q.CORPUS}, k AS (SELECT DISTINCT unnest({q.WORDS.format('text')}) AS word FROM corpus), p AS (SELECT word, {q.case_map(v.LEXICON, 'word')} AS valence FROM k) SELECT word, valence > 0 AS positive FROM p WHERE valence IS NOT NULL")
@@ -164,23 +166,22 @@ def word_polarity(spark, sf):
     return words.select("word", F.col("word").isin(t.praise()).alias("positive"))
 
 
-CASES = {"insult": ["you are an idiot", "what a worthless loser"], "praise": ["you are wonderful", "what a great day"], "negated": ["you are not stupid", "not a good person"], "plain": ["see you at noon", "the train is late"]}
-LONG = ["you are stupid", "have a nice day", "word", "no"]
+_GROUPS = "gr AS (SELECT item_id % 4 AS kind, list(text ORDER BY item_id) AS texts FROM benchmark WHERE text IS NOT NULL GROUP BY item_id % 4)"
 
 
 @query(
-    "SELECT CAST(i AS BIGINT) AS case_id, kind, text FROM (VALUES "
-    + ", ".join(f"({i}, '{k}', '{x}')" for i, (k, x) in enumerate((k, x) for k, xs in CASES.items() for x in xs))
-    + ", "
-    + ", ".join(f"({8 + i}, 'long', trim(repeat('{x} ', 60)))" for i, x in enumerate(LONG))
-    + ") AS c(i, kind, text)"
+    f"""WITH {_GROUPS}, flat AS (SELECT kind, generate_subscripts(texts, 1) AS place, unnest(texts) AS text FROM gr)
+SELECT CAST(kind AS VARCHAR) AS kind, CAST(place AS BIGINT) AS place, text FROM flat
+UNION ALL SELECT 'long', item_id, trim(repeat(regexp_extract(text, '[^ ]+( [^ ]+)?') || ' ', 60)) FROM benchmark WHERE item_id % 16 = 0 AND text IS NOT NULL"""
 )
 def fixture_cases(spark, sf):
-    """Grouped cases laid flat, and long texts made of a phrase."""
-    groups = spark.createDataFrame([(i, k, xs) for i, (k, xs) in enumerate(CASES.items())], "i long, kind string, texts array<string>")
-    flat = groups.select("i", "kind", F.posexplode("texts").alias("j", "text")).select((F.col("i") * 2 + F.col("j")).alias("case_id"), "kind", "text")
-    long = spark.createDataFrame([(8 + i, x) for i, x in enumerate(LONG)], "case_id long, phrase string")
-    return flat.union(long.select("case_id", F.lit("long"), F.trim(F.repeat(F.concat("phrase", F.lit(" ")), F.lit(60)))))
+    """Benchmark items in groups, laid flat again, and long texts made of the first two words of every sixteenth."""
+    d = table(spark, sf, "benchmark").where("text is not null")
+    groups = d.groupBy((F.col("item_id") % 4).cast("string").alias("kind")).agg(F.sort_array(F.collect_list(F.struct("item_id", "text"))).alias("texts"))
+    flat = groups.select("kind", F.posexplode("texts").alias("place", "x")).select("kind", (F.col("place") + 1).cast("long").alias("place"), "x.text")
+    phrase = F.regexp_extract("text", "[^ ]+( [^ ]+)?", 0)
+    long = d.where("item_id % 16 = 0").select(F.lit("long").alias("kind"), "item_id", F.trim(F.repeat(F.concat(phrase, F.lit(" ")), F.lit(60))).alias("text"))
+    return flat.union(long)
 
 
 def lexicon_words(docs):
@@ -221,27 +222,54 @@ def negation_triggers(spark, sf):
     return report.highlights(lexicon_words(d), s.page_tokens(d, "text", ["doc_id"]), live_model(spark, sf), d, only_triggers=True)
 
 
-@query(f"WITH {_HIGH}, tp AS (SELECT lk.doc_id, lk.token, m.ll1 - m.ll0 AS push FROM (SELECT DISTINCT l.doc_id, l.token FROM live l) lk JOIN lmodel m ON m.token = lk.token WHERE NOT list_contains({_FW}, regexp_replace(lk.token, '^not_', ''))), rk AS (SELECT doc_id, token, round(push, 6) AS push, row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(push), 9) DESC, token) AS rank FROM tp) SELECT * FROM rk WHERE rank <= 6")
+_KEPT = f"""{DAMPENED},
+rawl AS (SELECT doc_id, {q.WORDS.format("text")} AS rw FROM documents WHERE text IS NOT NULL),
+rawu AS (SELECT doc_id, unnest(rw) AS w, generate_subscripts(rw, 1) AS pos FROM rawl),
+nxt AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS nw FROM rawu),
+sw AS (SELECT doc_id, arg_min(w, pos) AS swear FROM nxt WHERE list_contains({q.lst(v.SWEARS)}, w) AND list_contains({q.lst(t.praise())}, nw) GROUP BY doc_id),
+kp AS (SELECT l.doc_id, l.token, l.pos FROM live l LEFT JOIN sw ON sw.doc_id = l.doc_id WHERE NOT list_contains({q.lst(v.CASUAL)}, l.token) AND NOT coalesce(l.token = sw.swear, false)),
+pu AS (SELECT kp.doc_id, kp.token, count(*) AS n, min(kp.pos) AS place, (any_value(m.ll1) - any_value(m.ll0)) * CASE WHEN starts_with(kp.token, 'not_') THEN {C.nb_negation_kept}::DOUBLE ELSE 1::DOUBLE END AS push FROM kp JOIN lmodel m ON m.token = kp.token GROUP BY kp.doc_id, kp.token)"""
+
+
+def live_pushes(spark, sf):
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    return explain.pushes(docs, stored(live_model(spark, sf), "model"), ["doc_id"])
+
+
+@query(f"WITH {_KEPT}, rk AS (SELECT doc_id, token, round(push, 6) AS push, row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(push), 9) DESC, place) AS rank FROM pu WHERE NOT list_contains({_FW}, regexp_replace(token, '^not_', ''))) SELECT * FROM rk WHERE rank <= 6")
 def explain_live_top6(spark, sf):
-    """The six live tokens of each text that push most, function words aside."""
-    d = table(spark, sf, "documents").where("text is not null")
-    m = live_model(spark, sf).select("token", (F.col("ll1") - F.col("ll0")).alias("push"))
-    tk = d.select("doc_id", F.explode(F.array_distinct(t.live_tokens(F.col("text")))).alias("token")).join(m, "token").where(~F.regexp_replace("token", "^not_", "").isin(v.FUNCTION_WORDS))
-    tk = tk.withColumn("order", F.round(F.abs("push"), 9))
-    top = report.last_of(tk, "doc_id", [F.desc("order"), F.col("token")], 6)
-    return top.select("doc_id", "token", F.round("push", 6).alias("push"), F.col("age").cast("long").alias("rank"))
+    """The six live tokens of each text that push its score most, function words aside."""
+    return explain.strongest(live_pushes(spark, sf), ["doc_id"]).withColumn("push", F.round("push", 6))
+
+
+@query(f"WITH {_KEPT} SELECT doc_id, round(coalesce(sum(push * n) FILTER (push > 0), 0), 4) AS aggressive, round(coalesce(-sum(push * n) FILTER (push < 0), 0), 4) AS safe, CAST(sum(n) AS BIGINT) AS tokens FROM pu GROUP BY doc_id")
+def push_totals(spark, sf):
+    """How far all occurrences of each text's live tokens push its score to either class."""
+    return explain.push_totals(live_pushes(spark, sf), ["doc_id"]).withColumns({c: F.round(c, 4) for c in ("aggressive", "safe")})
+
+
+def _listed(pairs: list[tuple[str, str]], none: str) -> str:
+    said = ", ".join(f"CASE WHEN {test} THEN '{words}' END" for test, words in pairs)
+    return f"coalesce(nullif(array_to_string(list_filter([{said}], lambda x: x IS NOT NULL), ', '), ''), '{none}')"
+
+
+_DAMP = f"CASE WHEN starts_with(kp.token, 'not_') THEN (ll0 + ll1) / 2 + {{sign}} {C.nb_negation_kept}::DOUBLE * (ll1 - ll0) / 2 ELSE {{own}} END"
+_UP = _listed([("coalesce(negated_up, false)", v.REASONS[0]), ("coalesce(plain_up, false)", v.REASONS[1]), ("cue", v.REASONS[2]), ("comp < -0.3::DOUBLE", v.REASONS[3])], v.NO_REASON[0])
+_DOWN = _listed([("coalesce(negated_down, false)", v.SAFE_REASONS[0]), ("NOT coalesce(any_up, false)", v.SAFE_REASONS[1]), ("NOT cue AND comp >= -0.3::DOUBLE", v.SAFE_REASONS[2])], v.NO_REASON[1])
 
 
 @query(
-    f"""WITH {DAMPENED}, tp AS (SELECT lk.doc_id, m.ll1 - m.ll0 AS push FROM (SELECT DISTINCT doc_id, token FROM live) lk JOIN lmodel m ON m.token = lk.token)
-SELECT doc_id, round(coalesce(sum(push) FILTER (push > 0), 0), 4) AS aggressive, round(coalesce(-sum(push) FILTER (push < 0), 0), 4) AS safe, count(*) AS tokens FROM tp GROUP BY doc_id"""
+    f"""WITH {_KEPT}, esrc AS (SELECT doc_id, text AS raw FROM documents WHERE text IS NOT NULL), {q.lexicon("esrc")},
+sg AS (SELECT doc_id, bool_or(starts_with(token, 'not_') AND push > 0) AS negated_up, bool_or(starts_with(token, 'not_') AND push < 0) AS negated_down, bool_or(NOT starts_with(token, 'not_') AND NOT starts_with(token, 'cue_') AND push > 0) AS plain_up, bool_or(NOT starts_with(token, 'cue_') AND push > 0) AS any_up FROM pu GROUP BY doc_id),
+ja AS (SELECT e.doc_id, count(m.ll0) AS matched, coalesce(sum({_DAMP.format(sign="-", own="ll0")}), 0) AS s0, coalesce(sum({_DAMP.format(sign="+", own="ll1")}), 0) AS s1 FROM esrc e LEFT JOIN kp ON kp.doc_id = e.doc_id LEFT JOIN lmodel m ON m.token = kp.token GROUP BY e.doc_id),
+nb AS (SELECT doc_id, matched, round(1 / (1 + exp(least((s0 + prior0) - (s1 + prior1), 700))), 4) AS nb FROM ja, lprior),
+sc AS (SELECT e.doc_id, e.raw, l.comp, len({q.markers("e.raw")}) > 0 AS cue, CASE WHEN nb.matched = 0 THEN l.lex ELSE round({C.nb_weight}::DOUBLE * nb.nb + {C.lexicon_weight}::DOUBLE * l.lex, 9) END AS h FROM esrc e JOIN lexs l ON l.doc_id = e.doc_id JOIN nb ON nb.doc_id = e.doc_id),
+fl AS (SELECT *, CASE WHEN h >= 0.5 AND NOT {q.english("raw")} THEN 0::DOUBLE WHEN h >= 0.5 AND {q.distress("raw")} THEN h * {C.distress_factor}::DOUBLE ELSE h END >= {C.threshold} AS hit FROM sc)
+SELECT fl.doc_id, CAST(hit AS INT) AS flagged, CASE WHEN hit THEN {_UP} ELSE {_DOWN} END AS reasons FROM fl LEFT JOIN sg ON sg.doc_id = fl.doc_id"""
 )
-def push_totals(spark, sf):
-    """How far each text's different live tokens push to either class."""
-    m = live_model(spark, sf).select("token", (F.col("ll1") - F.col("ll0")).alias("push"))
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(F.array_distinct(t.live_tokens(F.col("text")))).alias("token")).join(m, "token")
-    side = lambda sign: F.round(F.coalesce(sign * F.sum(F.when(sign * F.col("push") > 0, F.col("push"))), F.lit(0.0)), 4)
-    return d.groupBy("doc_id").agg(side(1).alias("aggressive"), side(-1).alias("safe"), F.count("*").alias("tokens"))
+def explain_reasons(spark, sf):
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    return explain.explained(docs, stored(live_model(spark, sf), "model"), ["doc_id"])
 
 
 @query(

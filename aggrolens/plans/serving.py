@@ -55,17 +55,6 @@ def explain_nb_top6(spark, sf):
     return tk.withColumn("rank", rank.cast("long")).where("rank <= 6").select("doc_id", "token", F.round("push", 6).alias("push"), "rank")
 
 
-@query(
-    f"""WITH src AS (SELECT doc_id, text AS raw FROM documents WHERE text IS NOT NULL), {q.lexicon("src")}
-SELECT l.doc_id, array_to_string(list_filter([CASE WHEN l.comp < -0.3 THEN 'harsh words' END, CASE WHEN len({q.markers("s.raw")}) > 0 THEN 'sarcasm' END, CASE WHEN {q.clause("s.raw")} IS NOT NULL THEN 'direct insult' END, CASE WHEN contains(s.raw, '!') THEN 'emphasis' END], lambda x: x IS NOT NULL), ', ') AS reasons FROM lexs l JOIN src s ON s.doc_id = l.doc_id"""
-)
-def explain_reasons(spark, sf):
-    d = s.score_lexicon(table(spark, sf, "documents").where("text is not null").select("doc_id", "text"))
-    text = F.col("text")
-    why = F.array_compact(F.array(F.when(F.col("compound") < -0.3, "harsh words"), F.when(F.size(t.sarcasm_markers(text)) > 0, "sarcasm"), F.when(t.direct_insult_clause(text).isNotNull(), "direct insult"), F.when(F.contains(text, F.lit("!")), "emphasis")))
-    return d.select("doc_id", F.array_join(why, ", ").alias("reasons"))
-
-
 @query()
 def page_text_units(spark, sf):
     return pages.text_units(table(spark, sf, "pages"))
@@ -182,18 +171,43 @@ def likert_means(spark, sf):
     return d.groupBy(F.col("o_orderstatus").alias("item")).agg(F.count("*").alias("n"), (F.floor(F.sum(5 - F.col("level").cast("int")) / F.count("*") * 100 + 0.5) / 100).alias("mean"))
 
 
-@query("SELECT * FROM (VALUES ('scum', 'exists', 'clown,idiot', 'scum,worthless'), ('clown', 'moved', 'idiot', 'scum,worthless,clown'), ('trash', 'added', 'clown,idiot', 'scum,worthless,trash')) AS t(word, outcome, whitelist, blocklist)")
+_PARTS = "p AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS listed, list_distinct(string_split(lower(p_name), ' ')) AS names, list_distinct(string_split(lower(p_type), ' ')) AS types, lower(trim(string_split(CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_type ELSE p_brand END, ' ')[1])) AS word FROM part)"
+
+
+def _parts(spark, sf):
+    """For each part the words of its name as a whitelist, those of its type as a blocklist, and a word to add, as a user may type it."""
+    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
+    of = F.expr("CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_type ELSE p_brand END")
+    typed = F.concat(F.lit(" "), F.upper(F.get(F.split(of, " "), F.lit(0))), F.lit("  "))
+    return table(spark, sf, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("listed"), words(F.col("p_name")).alias("names"), words(F.col("p_type")).alias("types"), typed.alias("typed"))
+
+
+_JOINED = "array_to_string(list_sort({0}), ',')"
+
+
+@query(
+    f"""WITH {_PARTS} SELECT p_partkey, word, CASE WHEN list_contains(types, word) THEN 'exists' WHEN list_contains(names, word) THEN 'moved' ELSE 'added' END AS outcome,
+{_JOINED.format("list_filter(names, lambda x: x <> word)")} AS whitelist, {_JOINED.format("CASE WHEN list_contains(types, word) THEN types ELSE list_append(types, word) END")} AS blocklist FROM p"""
+)
 def list_move(spark, sf):
-    d = spark.createDataFrame([(" Scum ",), ("CLOWN",), ("trash",)], "w string").withColumns({"white": t.strings(sorted(v.WHITELIST)[0:2]), "block": t.strings(v.BLOCKLIST)})
-    white, block, outcome = lists.moved(F.col("white"), F.col("block"), F.col("w"))
-    return d.select(lists.tidy(F.col("w")).alias("word"), outcome.alias("outcome"), F.array_join(white, ",").alias("whitelist"), F.array_join(block, ",").alias("blocklist"))
+    """What adding a word to a blocklist does to it and to the whitelist."""
+    white, block, outcome = lists.moved(F.col("names"), F.col("types"), F.col("typed"))
+    joined = lambda x: F.array_join(F.array_sort(x), ",")
+    return _parts(spark, sf).select("p_partkey", lists.tidy(F.col("typed")).alias("word"), outcome.alias("outcome"), joined(white).alias("whitelist"), joined(block).alias("blocklist"))
+
+
+@query(f"WITH {_PARTS} SELECT p_partkey, {_JOINED.format('CASE WHEN list_contains(types, word) OR list_contains(names, word) THEN names ELSE list_append(names, word) END')} AS whitelist, {_JOINED.format('list_filter(types, lambda x: x <> word)')} AS blocklist FROM p")
+def list_changes(spark, sf):
+    """A word added to a whitelist unless it is blocked or there already, and the same word taken from the blocklist."""
+    joined = lambda x: F.array_join(F.array_sort(x), ",")
+    return _parts(spark, sf).select("p_partkey", joined(lists.allowed(F.col("names"), F.col("types"), F.col("typed"))).alias("whitelist"), joined(lists.removed(F.col("types"), F.col("typed"))).alias("blocklist"))
 
 
-@query("SELECT array_to_string(list_filter(" + q.lst(v.INSULTS) + ", lambda x: contains(x, 'ful') OR contains(x, 'ing')), ',') AS words")
+@query(f"WITH {_PARTS} SELECT p_partkey, array_to_string(list_filter(listed, lambda x: contains(x, word[1:2])), ',') AS words FROM p")
 def list_search(spark, sf):
-    ws = t.strings(v.INSULTS)
-    hits = F.filter(ws, lambda x: F.array_contains(F.array_union(lists.found(ws, F.lit(" FUL")), lists.found(ws, F.lit("ing "))), x))
-    return spark.range(1).select(F.array_join(hits, ",").alias("words"))
+    """The words of a list that hold what a user has typed so far, in the list's order."""
+    part = F.concat(F.lit("  "), F.substring(F.trim("typed"), 1, 2), F.lit(" "))
+    return _parts(spark, sf).select("p_partkey", F.array_join(lists.found(F.col("listed"), part), ",").alias("words"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(quality AS VARCHAR) AS quality, CASE WHEN quality = toxic THEN '''-' || toxic ELSE CAST(toxic AS VARCHAR) END AS signed FROM labels")

@@ -75,6 +75,35 @@ def load_model(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+JSON_MODEL = "log_prior map<string,double>, log_likelihood map<string,map<string,double>>, class_counts map<string,long>, total_words map<string,long>, vocab_size long"
+
+
+def read_json_model(spark: SparkSession, path: str) -> DataFrame:
+    """The model table of a JSON object of nested maps: log_prior by class, log_likelihood by class and token, and, if they are there, total_words by class and vocab_size, from which raw counts are got back (else they are null).
+
+    A token that one class lacks counts 0 there, as a score does that finds nothing to add. Other members are passed over.
+    """
+    d = spark.read.json(path, schema=JSON_MODEL, multiLine=True)
+    of = lambda k: d.select(F.explode(F.try_element_at("log_likelihood", F.lit(str(k)))).alias("token", f"ll{k}"))
+    by = lambda c, k: F.try_element_at(c, F.lit(str(k)))
+    one = d.select(*[by("log_prior", k).alias(f"prior{k}") for k in (0, 1)], *[(by("total_words", k) + F.col("vocab_size")).alias(f"_t{k}") for k in (0, 1)]).limit(1)
+    m = of(0).join(of(1), "token", "full").crossJoin(F.broadcast(one))  # one row
+    count = lambda k: F.when(F.col(f"ll{k}").isNotNull(), F.round(F.exp(f"ll{k}") * F.col(f"_t{k}") - 1).cast("long")).alias(f"c{k}")
+    return m.select("token", count(0), count(1), *[F.coalesce(f"ll{k}", F.lit(0.0)).alias(f"ll{k}") for k in (0, 1)], "prior0", "prior1")
+
+
+def json_model(model: DataFrame) -> DataFrame:
+    """One row of text, a model table as that JSON object. The format holds the whole vocabulary in one value; models larger than that belong in save_model."""
+    pairs = lambda k: F.map_from_entries(F.collect_list(F.struct("token", f"ll{k}")))
+    both = lambda a, b: F.create_map(F.lit("0"), a, F.lit("1"), b)
+    members = [both(F.max("prior0"), F.max("prior1")).alias("log_prior"), both(pairs(0), pairs(1)).alias("log_likelihood"), both(F.sum("c0"), F.sum("c1")).alias("total_words"), F.count("*").alias("vocab_size")]
+    return model.agg(*members).where("vocab_size > 0").select(F.to_json(F.struct("log_prior", "log_likelihood", "total_words", "vocab_size")).alias("value"))
+
+
+def write_json_model(model: DataFrame, path: str) -> None:
+    json_model(model).write.text(path)
+
+
 def read_lexicon(spark: SparkSession, path: str, most: int = 50_000) -> dict[str, float]:
     """A lexicon of lower-case terms from a CSV table of term and valence. It becomes a literal of plans, so more than `most` terms are refused."""
     rows = read_csv(spark, path, "term string, valence double").where("term is not null and valence is not null").limit(most + 1).collect()
