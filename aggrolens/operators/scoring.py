@@ -10,6 +10,7 @@ from ..config import DEFAULT
 from ..functions import normalise as n
 from ..functions import text as t
 from ..functions import vocab as v
+from ..storage import stored
 
 
 def md5_order(key: str = "doc_id") -> list[Column]:
@@ -63,10 +64,18 @@ def token_counts(corpus: DataFrame, tokens: Column | None = None) -> DataFrame:
 
 
 def train_nb(corpus: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """token, c0, c1, ll0, ll1, prior0, prior1: multinomial Naive Bayes with add-one smoothing, as a table."""
-    counts = token_counts(corpus, tokens).groupBy("token").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("c0"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("c1"))
+    """token, c0, c1, ll0, ll1, prior0, prior1: multinomial Naive Bayes with add-one smoothing, as a table.
+
+    One pass over the texts: a null token at each text's end counts the texts. The counts, as many
+    as there are different tokens, are stored, as totals and likelihoods both need them.
+    """
+    tokens = F.coalesce(t.content_tokens(F.col("text")) if tokens is None else tokens, F.array().cast("array<string>"))
+    d = corpus.select("label", F.explode(F.concat(tokens, F.array(F.lit(None).cast("string")))).alias("token"))
+    of = lambda k: F.count_if(F.col("label") == k).alias(f"c{k}")
+    all_counts = stored(d.groupBy("token").agg(of(0), of(1)), "counts")
+    counts = all_counts.where("token is not null")
     totals = counts.agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"), F.count("*").alias("v"))
-    docs = corpus.agg(F.count_if(F.col("label") == 0).alias("d0"), F.count_if(F.col("label") == 1).alias("d1"))
+    docs = all_counts.where("token is null").agg(F.sum("c0").alias("d0"), F.sum("c1").alias("d1"))
     one = totals.crossJoin(docs)  # one row by one row
     m = counts.crossJoin(F.broadcast(one))
     ll = lambda k: F.log((F.col(f"c{k}") + 1) / (F.col(f"t{k}") + F.col("v"))).alias(f"ll{k}")
@@ -78,13 +87,14 @@ def softmax(s0: Column, s1: Column) -> Column:
     return 1 / (1 + F.exp(F.least(s0 - s1, F.lit(700.0))))
 
 
-def score_nb(docs: DataFrame, model: DataFrame, tokens: Column | None = None, key: str = "doc_id") -> DataFrame:
-    """key, matched tokens and nb: probability of the positive class; texts without known tokens get the prior's."""
-    d = docs.select(key, F.explode_outer(t.content_tokens(F.col("text")) if tokens is None else tokens).alias("token"))
+def score_nb(docs: DataFrame, model: DataFrame, tokens: Column | None = None, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, matched tokens and nb: probability of the positive class; texts without known tokens get the prior's. keep: short columns of docs that come along, so that nothing has to be joined back."""
+    d = docs.select(key, *keep, F.explode_outer(t.content_tokens(F.col("text")) if tokens is None else tokens).alias("token"))
     prior = model.select("prior0", "prior1").limit(1)
-    s = d.join(model.select("token", "ll0", "ll1"), "token", "left").groupBy(key).agg(F.count("ll0").alias("matched"), F.coalesce(F.sum("ll0"), F.lit(0.0)).alias("s0"), F.coalesce(F.sum("ll1"), F.lit(0.0)).alias("s1"))
+    sums = [F.count("ll0").alias("matched"), F.coalesce(F.sum("ll0"), F.lit(0.0)).alias("s0"), F.coalesce(F.sum("ll1"), F.lit(0.0)).alias("s1")]
+    s = d.join(model.select("token", "ll0", "ll1"), "token", "left").groupBy(key).agg(*sums, *[F.first(c).alias(c) for c in keep])
     s = s.crossJoin(F.broadcast(prior))  # one row
-    return s.select(key, "matched", softmax(F.col("s0") + F.col("prior0"), F.col("s1") + F.col("prior1")).alias("nb"))
+    return s.select(key, *keep, "matched", softmax(F.col("s0") + F.col("prior0"), F.col("s1") + F.col("prior1")).alias("nb"))
 
 
 def page_tokens(docs: DataFrame, text: str, key: list[str]) -> DataFrame:
@@ -139,11 +149,12 @@ def by_mode(nb: Column, lex: Column, matched: Column, text: Column, mode: str |
     return F.when(mode == "nb", nb).when(mode == "lexicon", lex).otherwise(t.let(blended(nb, lex, matched), lambda x: guarded(x, text)))
 
 
-def guarded(score: Column, text: Column, mode: str = "hybrid") -> Column:
-    """The policy on blended scores over the threshold: 0 for texts not in English, less for distress about oneself. Single scorers are left alone."""
+def guarded(score: Column, text: Column, mode: str = "hybrid", english: Column | None = None, distress: Column | None = None) -> Column:
+    """The policy on blended scores over the threshold: 0 for texts not in English, less for distress about oneself. Single scorers are left alone. english and distress, if known, spare a look at the text."""
     if mode in ("nb", "lexicon"):
         return score
-    return F.when((score >= DEFAULT.threshold) & ~t.looks_english(text), 0.0).when((score >= DEFAULT.threshold) & t.self_distress(text), score * DEFAULT.distress_factor).otherwise(score)
+    english, distress = t.looks_english(text) if english is None else english, t.self_distress(text) if distress is None else distress
+    return F.when((score >= DEFAULT.threshold) & ~english, 0.0).when((score >= DEFAULT.threshold) & distress, score * DEFAULT.distress_factor).otherwise(score)
 
 
 def predicted(score: Column) -> Column:
@@ -178,6 +189,7 @@ def live_scores(units: DataFrame, model: DataFrame | None, key: list[str], block
     if model is None:
         rest = rest.withColumn("matched", F.lit(1).cast("long")).withColumn("nb", F.lit(0.5))
     else:
+        rest = stored(rest.select(*key, "text", "cut", "lex"), "scored")  # normalised once
         rest = rest.join(dampened_nb(rest.select(*key, "cut"), model, key, "cut"), key)
     return ruled.unionByName(rest.select(*key, "text", "cut", "lex", "matched", "nb"), allowMissingColumns=True)
 

@@ -11,6 +11,7 @@ from ..functions import text as t
 from ..functions import vocab as v
 from ..operators import evaluation as e
 from ..operators import scoring as s
+from ..storage import spread, stored
 from . import sql as q
 
 QUERIES: dict = {}
@@ -31,26 +32,35 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, for functions that cost more than reading them."""
+    return spread(table(spark, sf, "documents"))
+
+
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    d, la = table(spark, sf, "documents"), table(spark, sf, "labels")
+    d, la = documents(spark, sf), table(spark, sf, "labels")
     return d.where("text is not null").join(la.select("doc_id", F.col("toxic").alias("label")), "doc_id").select("doc_id", "text", "lang", "source", "label")
 
 
 def split(spark: SparkSession, sf: str) -> DataFrame:
-    return s.stratified_split(corpus(spark, sf))
+    """The corpus with is_test. Ids and labels alone are ranked, and what comes of it is stored, so that texts take part in no ranking."""
+    d = corpus(spark, sf)
+    flags = stored(s.stratified_split(d.select("doc_id", "label")).groupBy("doc_id").agg(F.max("is_test").alias("is_test")), "split")
+    return d.join(flags, "doc_id")
 
 
 def live_model(spark: SparkSession, sf: str) -> DataFrame:
     """Naive Bayes of live tokens, negated ones and cues included, from the training rows."""
-    return s.train_nb(split(spark, sf).where("not is_test"), t.live_tokens(F.col("text")))
+    return stored(s.train_nb(split(spark, sf).where("not is_test"), t.live_tokens(F.col("text"))), "model")
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    """The test rows with nb, matched, compound, lex and hybrid."""
+    """The test rows with label, lang, source, matched, nb, compound, lex, hybrid, english and distress. The model is stored; the texts of test rows are read once, for both scorers and the policy."""
     d = split(spark, sf)
-    test = d.where("is_test")
-    nb = s.score_nb(test, s.train_nb(d.where("not is_test")))
-    return s.score_lexicon(test).join(nb, "doc_id").withColumn("hybrid", s.blended(F.col("nb"), F.col("lex")))
+    model = stored(s.train_nb(d.where("not is_test")), "model")
+    test = s.score_lexicon(d.where("is_test")).withColumns({"english": t.looks_english(F.col("text")), "distress": t.self_distress(F.col("text"))})
+    found = s.score_nb(test, model, keep=("label", "lang", "source", "compound", "lex", "english", "distress"))
+    return found.withColumn("hybrid", s.blended(F.col("nb"), F.col("lex")))
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,7 +143,7 @@ live AS (SELECT * FROM plain UNION ALL SELECT * FROM cues)"""
 FROM documents d LEFT JOIN live ON live.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id"""
 )
 def nb_runtime_tokens(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", t.live_tokens(F.col("text")).alias("ts"))
+    d = documents(spark, sf).where("text is not null").select("doc_id", t.live_tokens(F.col("text")).alias("ts"))
     negated = F.size(F.filter("ts", lambda x: F.startswith(x, F.lit("not_")))).cast("long")
     return d.select("doc_id", F.size("ts").cast("long").alias("n_tokens"), negated.alias("n_negated"), F.md5(F.array_join("ts", " ")).alias("tokens_md5"))
 
@@ -159,19 +169,19 @@ ja AS (SELECT doc_id, count(ll0) AS matched, coalesce(sum({_DAMP.format(sign="-"
 SELECT doc_id, matched, round(1 / (1 + exp(least((s0 + prior0) - (s1 + prior1), 700))), 4) AS nb FROM ja, lprior"""
 )
 def nb_dampened_scores(spark, sf):
-    return s.dampened_nb(table(spark, sf, "documents").where("text is not null"), live_model(spark, sf))
+    return s.dampened_nb(documents(spark, sf).where("text is not null"), live_model(spark, sf))
 
 
 @query(f"WITH src AS (SELECT doc_id, text AS txt FROM documents WHERE text IS NOT NULL), {q.hits('src')} SELECT doc_id, pos, word, round(base, 6) AS base, round(valence, 6) AS valence FROM hit")
 def lexicon_hits(spark, sf):
-    d = s.with_hits(table(spark, sf, "documents").where("text is not null").select("doc_id", "text"), "text")
+    d = s.with_hits(documents(spark, sf).where("text is not null").select("doc_id", "text"), "text")
     h = d.select("doc_id", F.explode_outer("_hits").alias("h")).where("h is not null").select("doc_id", "h.*")  # explode() would have its size test pushed down, expressions and all
     return h.select("doc_id", F.col("pos").cast("long").alias("pos"), "word", F.round("base", 6).alias("base"), F.round("valence", 6).alias("valence"))
 
 
 @query(f"WITH src AS (SELECT doc_id, text AS raw FROM documents WHERE text IS NOT NULL), {q.lexicon('src')} SELECT doc_id, comp AS compound, lex FROM lexs")
 def lexicon_scores(spark, sf):
-    return s.score_lexicon(table(spark, sf, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", "compound", "lex")
+    return s.score_lexicon(documents(spark, sf).where("text is not null").select("doc_id", "text")).select("doc_id", "compound", "lex")
 
 
 @query(f"SELECT conv_id, turn, least(len({q.markers('text')}) * 0.5::DOUBLE, 1::DOUBLE) AS cue, array_to_string({q.markers('text')}, '|') AS markers FROM conversations")
@@ -187,7 +197,7 @@ def clause_override(spark, sf):
 @query(f"WITH {q.HYBRID} SELECT doc_id, round(nb, 6) AS nb, lex, round(hybrid, 6) AS hybrid, round(CASE WHEN h2 >= 0.5 AND NOT {q.english('text')} THEN 0::DOUBLE WHEN h2 >= 0.5 AND {q.distress('text')} THEN h2 * {C.distress_factor}::DOUBLE ELSE h2 END, 6) AS decided FROM (SELECT *, CASE WHEN matched = 0 THEN lex ELSE round(hybrid, 9) END AS h2 FROM hyb)")
 def hybrid_scores(spark, sf):
     d = scored(spark, sf).withColumn("h2", F.when(F.col("matched") == 0, F.col("lex")).otherwise(F.round("hybrid", 9)))
-    return d.select("doc_id", F.round("nb", 6).alias("nb"), "lex", F.round("hybrid", 6).alias("hybrid"), F.round(s.guarded(F.col("h2"), F.col("text")), 6).alias("decided"))
+    return d.select("doc_id", F.round("nb", 6).alias("nb"), "lex", F.round("hybrid", 6).alias("hybrid"), F.round(s.guarded(F.col("h2"), F.lit(""), english=F.col("english"), distress=F.col("distress")), 6).alias("decided"))
 
 
 @query(
@@ -271,12 +281,12 @@ def eval_by_category_mode(spark, sf):
 
 @query(f"SELECT doc_id, {q.first_words('text')} AS text FROM documents WHERE text IS NOT NULL")
 def truncate_128(spark, sf):
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", t.first_words(F.col("text")).alias("text"))
+    return documents(spark, sf).where("text is not null").select("doc_id", t.first_words(F.col("text")).alias("text"))
 
 
 @query(f"SELECT doc_id, {q.english('text')} AS english FROM documents WHERE text IS NOT NULL")
 def english_guard(spark, sf):
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", t.looks_english(F.col("text")).alias("english"))
+    return documents(spark, sf).where("text is not null").select("doc_id", t.looks_english(F.col("text")).alias("english"))
 
 
 @query(f"SELECT conv_id, turn, {q.distress('text')} AS distress FROM conversations WHERE text IS NOT NULL")
@@ -299,6 +309,6 @@ def whitelist_exempt(spark, sf):
 SELECT c.doc_id, CASE WHEN {q.listed("c.text", v.BLOCKLIST)} THEN 'blocked' WHEN {q.listed("c.text", v.WHITELIST)} THEN 'exempt' WHEN l.lex >= 0.5 THEN 'aggressive' ELSE 'safe' END AS verdict, CASE WHEN {q.listed("c.text", v.BLOCKLIST)} THEN 1::DOUBLE WHEN {q.listed("c.text", v.WHITELIST)} THEN NULL ELSE l.lex END AS score FROM cut c JOIN lexs l ON l.doc_id = c.doc_id"""
 )
 def verdict_precedence(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "text", t.first_words(F.col("text")).alias("cut"))
+    d = documents(spark, sf).where("text is not null").select("doc_id", "text", t.first_words(F.col("text")).alias("cut"))
     d = s.score_lexicon(d, "cut").withColumn("verdict", s.verdict(F.col("text"), F.col("lex"), v.BLOCKLIST, v.WHITELIST))
     return d.select("doc_id", "verdict", F.when(F.col("verdict") == "blocked", 1.0).when(F.col("verdict") != "exempt", F.col("lex")).alias("score"))

@@ -9,7 +9,7 @@ from ..functions import text as t
 from ..operators import logs
 from ..operators import scoring as s
 from ..streaming import detect, live
-from .detection import live_model, table
+from .detection import documents, live_model, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -27,13 +27,13 @@ def units(spark, sf):
 
 @query
 def live_truncated(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null")
+    d = documents(spark, sf).where("text is not null")
     return d.select("doc_id", t.first_words(n.normalise(F.col("text"))).alias("text"))
 
 
 @query
 def live_verdicts(spark, sf):
-    d = table(spark, sf, "documents").dropDuplicates(["doc_id"])
+    d = documents(spark, sf).dropDuplicates(["doc_id"])
     return s.live_verdicts(d, live_model(spark, sf), ["doc_id"]).drop("text")
 
 
@@ -47,7 +47,7 @@ def live_verdicts_by_mode(spark, sf):
 @query
 def live_page_alerts(spark, sf):
     """The document whose flag is a language's third, where every language is a page."""
-    d = table(spark, sf, "documents").dropDuplicates(["doc_id"])
+    d = documents(spark, sf).dropDuplicates(["doc_id"])
     found = s.live_verdicts(d.withColumn("lang", F.coalesce("lang", F.lit(""))), live_model(spark, sf), ["lang", "doc_id"])
     return logs.page_alerts(found.withColumn("unit", F.col("doc_id")), "lang", "doc_id", "unit")
 

@@ -10,9 +10,8 @@ from ..functions import text as t
 from ..functions import vocab as v
 from ..operators import explain, pages, report
 from ..operators import scoring as s
-from ..storage import stored
 from . import sql as q
-from .detection import DAMPENED, live_model, split, table
+from .detection import DAMPENED, documents, live_model, split, table
 from .serving import FOUND, HOST, found
 
 QUERIES: dict = {}
@@ -212,13 +211,13 @@ cu AS (SELECT doc_id, unnest(ms) AS word FROM mk)"""
     f"WITH {_HIGH} SELECT DISTINCT doc_id, kind, pattern FROM (SELECT doc_id, 'sarcasm' AS kind, word AS pattern FROM cu UNION ALL SELECT doc_id, 'negation', word FROM ng UNION ALL SELECT doc_id, 'negation', word FROM fl UNION ALL SELECT doc_id, 'nb', word FROM nbw UNION ALL SELECT doc_id, 'lexicon', word FROM ot)"
 )
 def highlight_entries(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    d = documents(spark, sf).where("text is not null").select("doc_id", "text")
     return report.highlights(lexicon_words(d), s.page_tokens(d, "text", ["doc_id"]), live_model(spark, sf), d)
 
 
 @query(f"WITH {_HIGH} SELECT doc_id, word AS trigger FROM fl")
 def negation_triggers(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    d = documents(spark, sf).where("text is not null").select("doc_id", "text")
     return report.highlights(lexicon_words(d), s.page_tokens(d, "text", ["doc_id"]), live_model(spark, sf), d, only_triggers=True)
 
 
@@ -232,8 +231,8 @@ pu AS (SELECT kp.doc_id, kp.token, count(*) AS n, min(kp.pos) AS place, (any_val
 
 
 def live_pushes(spark, sf):
-    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
-    return explain.pushes(docs, stored(live_model(spark, sf), "model"), ["doc_id"])
+    docs = documents(spark, sf).where("text is not null").select("doc_id", "text")
+    return explain.pushes(docs, live_model(spark, sf), ["doc_id"])
 
 
 @query(f"WITH {_KEPT}, rk AS (SELECT doc_id, token, round(push, 6) AS push, row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(push), 9) DESC, place) AS rank FROM pu WHERE NOT list_contains({_FW}, regexp_replace(token, '^not_', ''))) SELECT * FROM rk WHERE rank <= 6")
@@ -268,8 +267,8 @@ fl AS (SELECT *, CASE WHEN h >= 0.5 AND NOT {q.english("raw")} THEN 0::DOUBLE WH
 SELECT fl.doc_id, CAST(hit AS INT) AS flagged, CASE WHEN hit THEN {_UP} ELSE {_DOWN} END AS reasons FROM fl LEFT JOIN sg ON sg.doc_id = fl.doc_id"""
 )
 def explain_reasons(spark, sf):
-    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
-    return explain.explained(docs, stored(live_model(spark, sf), "model"), ["doc_id"])
+    docs = documents(spark, sf).where("text is not null").select("doc_id", "text")
+    return explain.explained(docs, live_model(spark, sf), ["doc_id"])
 
 
 @query(

@@ -14,7 +14,7 @@ from ..operators import scoring as s
 from ..sources import files
 from ..streaming import changes, detect
 from . import sql as q
-from .detection import split, table
+from .detection import documents, split, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -32,13 +32,13 @@ def query(sql: str | None = None):
 
 @query()
 def normalize_text(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null")
+    d = documents(spark, sf).where("text is not null")
     return d.select("doc_id", n.normalise(F.col("text")).alias("text"))
 
 
 @query()
 def mask_segments(spark, sf):
-    d = table(spark, sf, "documents").where(s.listed(F.col("text"), v.BLOCKLIST) & s.listed(F.col("text"), v.WHITELIST))
+    d = documents(spark, sf).where(s.listed(F.col("text"), v.BLOCKLIST) & s.listed(F.col("text"), v.WHITELIST))
     m = d.select("doc_id", n.mask_segments(F.col("text"), v.WHITELIST).alias("segments"))
     return m.withColumn("masked", F.array_join(F.transform("segments", lambda x: F.when(x["visible"], x["text"]).otherwise(F.regexp_replace(x["text"], r"\S", "*"))), "")).select("doc_id", "masked", F.size("segments").alias("n_segments"))
 

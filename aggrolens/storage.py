@@ -21,6 +21,6 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores at least, for costly functions on a table of few, large pieces; a table of many pieces stays as it is."""
+    """A scanned table in a partition a core, for costly functions on a table of few pieces; one that has a piece for every second core at least stays as it is, so what is moved is never more than a piece a core."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if 2 * df.rdd.getNumPartitions() > cores else df.repartition(cores)
