@@ -87,11 +87,11 @@ def can_match(x: str, y: str, percent: int) -> Column:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid and text of the wanted sets (sid, rep, t); repeated rows give a text several times. Up to 200,000 identifiers are broadcast."""
+    """sid and text of the wanted sets (sid, rep, t), each once, however often its row is repeated. Up to 200,000 identifiers are broadcast."""
     w = wanted.select("sid", "rep", F.col("t").alias("wt"))
     w = F.broadcast(w) if wanted.count() <= SENT else w
     d = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    return d.join(w, (d["t"] == F.col("wt")) & d["doc_id"].eqNullSafe(F.col("rep"))).select("sid", "text")
+    return d.join(w, (d["t"] == F.col("wt")) & d["doc_id"].eqNullSafe(F.col("rep"))).groupBy("sid").agg(F.first("text").alias("text"))
 
 
 def sketched(texts: DataFrame, size: int) -> DataFrame:
