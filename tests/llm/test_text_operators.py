@@ -190,7 +190,7 @@ def brute_repeats(texts, length=200):
         yield len(t), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest()
 
 
-@pytest.mark.parametrize("indexed,often", [(40_000, 500), (1, 500), (40_000, 2)])
+@pytest.mark.parametrize("indexed,often", [(40_000, 500), (1, 500), (3, 500), (40_000, 2)])
 def test_repeats(spark, texts, monkeypatch, indexed, often):
     monkeypatch.setattr(repeats, "OFTEN", often)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(table(spark, texts, extra=True), indexed=indexed).collect()}
@@ -213,6 +213,35 @@ def test_long_text_without_repeats(spark):
     assert repeats.without_repeats(table(spark, [text, "other"])).agg(F.sum("n_removed")).first()[0] == 0
 
 
+def test_repeats_in_and_across_parts_of_long_texts(spark):
+    """Copies within a part of half a megabyte, over the edge between two, in two parts and in another text."""
+    r, part = random.Random(10), repeats.SEGMENT
+    t = r.choices("abcdefghijklmnop", k=2 * part + 70_000)
+    put = lambda to, at, n: t.__setitem__(slice(to, to + n), t[at : at + n])
+    put(5_000, 1_000, 450)
+    put(part - 230, 9_000, 461)
+    put(2 * part - 1, 40_000, 200)
+    put(part + 7_000, 60_000, 199)
+    put(2 * part + 30_000, 2 * part + 29_800, 700)
+    other = "x" + "".join(t[part - 100 : part + 150])
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.without_repeats(table(spark, ["".join(t), other])).collect()}
+    want = list(brute_repeats(["".join(t).encode(), other.encode()]))
+    assert [got[0], got[1]] == want and want[1][1] == 250 and want[0][2] == 7
+
+
+@pytest.mark.parametrize("most", [2, 7, 10_000])
+def test_contexts_of_one_anchor(spark, most):
+    """Some 260 different strings around one anchor, divided again and again, in groups of any size."""
+    r = random.Random(most)
+    anchor, sides = "Z" * 3 + "qwertyuiopasdfghjklzxcvbnm1234567890" + "Y", ["".join(r.choices("ab", k=180)) for _ in range(16)]
+    out = []
+    for i in range(260):
+        a, b = r.choice(sides), r.choice(sides)
+        out.append("".join(r.choices("cd", k=r.randint(0, 60))) + a[r.randint(0, 170) :] + anchor + b[: r.randint(60, 180)] + f"<{i}>")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.without_repeats(table(spark, out), indexed=most).collect()}
+    assert [got[i] for i in range(len(out))] == list(brute_repeats([t.encode() for t in out]))
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.without_repeats(empty(spark)).count() == 0
 
