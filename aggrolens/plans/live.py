@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import normalise as n
+from ..functions import render as r
 from ..functions import text as t
-from ..operators import logs
+from ..operators import logs, report
 from ..operators import scoring as s
 from ..streaming import detect, live
 from .detection import documents, live_model, table
@@ -61,11 +62,35 @@ def stream_live_detections(spark, sf):
     return live.live_detections(stream(spark, sf), live_model(spark, sf), live.shared_path(spark, "live"))
 
 
+def verdicts(spark, sf):
+    """Whole verdicts of the turns as a stream."""
+    return live.verdict_stream(stream(spark, sf), live_model(spark, sf), live.shared_path(spark, "verdicts"))
+
+
+@query
+def stream_detections(spark, sf):
+    """The log's rows: every unit that no whitelist exempts, once."""
+    return detect.run_available(verdicts(spark, sf).select(*KEY, "text", "score", "verdict", "flagged"))
+
+
+@query
+def stream_page_alerts(spark, sf):
+    return detect.run_available(detect.streamed_alerts(verdicts(spark, sf)))
+
+
+@query
+def log_report_lines(spark, sf):
+    """The report's texts as the lines that a page shows, with the verdict of each entry."""
+    d = s.live_verdicts(units(spark, sf), live_model(spark, sf), KEY).where("verdict <> 'exempt'")
+    d = report.report_rows(d.withColumn("score", F.round("score", 3)).withColumn("mode", F.lit("hybrid")), "conv_id", "turn")
+    return d.select(*KEY, "number", "verdict", "percentage", "mode", F.posexplode(r.wrapped_lines(F.col("text"), 91)).alias("line", "text"))
+
+
 @query
 def stream_running_log(spark, sf):
     """Counters and last entries of each conversation after the stream's last batch."""
     path = live.shared_path(spark, "log")
-    live.start(live.running_log(detect.detections(stream(spark, sf))), path, mode="update").awaitTermination()
+    live.start(live.running_log(verdicts(spark, sf)), path, mode="update").awaitTermination()
     return live.present(live.written(spark, path, live.LOG))
 
 
@@ -73,6 +98,6 @@ def stream_running_log(spark, sf):
 def stream_visit_alerts(spark, sf):
     """Alerts where every sixteen turns of a conversation are a visit."""
     path = live.shared_path(spark, "visits")
-    found = detect.detections(stream(spark, sf)).withColumn("visit", F.floor(F.col("turn") / 16))
+    found = verdicts(spark, sf).withColumn("visit", F.floor(F.col("turn") / 16))
     live.start(live.visit_alerts(found), path).awaitTermination()
     return live.written(spark, path, "conv_id long, visit long, alert_at long").drop("batch")

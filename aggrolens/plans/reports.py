@@ -50,13 +50,6 @@ def log_report(spark, sf):
     return report.report_rows(d, "conv_id", "turn").drop("text")
 
 
-@query()
-def log_report_lines(spark, sf):
-    """The report's texts as the lines that a page shows."""
-    d = report.report_rows(log(spark, sf).withColumn("mode", F.lit("hybrid")), "conv_id", "turn")
-    return d.select("conv_id", "turn", F.posexplode(r.wrapped_lines(F.col("text"), 91)).alias("line", "text"))
-
-
 @query("SELECT l_orderkey, min(l_returnflag) AS first, max(l_returnflag) AS last, count(DISTINCT l_returnflag) AS n_values FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) > 1")
 def unequal_groups(spark, sf):
     return report.unequal(table(spark, sf, "lineitem"), "l_orderkey", "l_returnflag")

@@ -132,17 +132,6 @@ def page_alerts(spark, sf):
     return logs.page_alerts(found(spark, sf).withColumn("unit", F.col("turn")), "conv_id", "turn", "unit")
 
 
-@query()
-def stream_detections(spark, sf):
-    return detect.run_available(detect.detections(detect.read_units(spark, f"{sf}/conversations.parquet")))
-
-
-@query()
-def stream_page_alerts(spark, sf):
-    found = detect.detections(detect.read_units(spark, f"{sf}/conversations.parquet"))
-    return detect.run_available(detect.streamed_alerts(found))
-
-
 _COMPAT = "defs AS (SELECT r_name AS browser, r_regionkey AS r, n_nationkey AS test FROM region, nation WHERE n_nationkey < 12), seen AS (SELECT r_name AS browser, n_nationkey AS test, CASE WHEN (n_nationkey * 7 + r_regionkey) % 11 = 5 THEN 'Failed' ELSE 'Passed' END AS status FROM region JOIN nation ON (n_nationkey + r_regionkey) % 9 <> 3 OR r_regionkey = 2), m AS (SELECT d.browser, d.test, coalesce(s.status, 'Not Tested') AS status FROM defs d LEFT JOIN seen s ON s.browser = d.browser AND s.test = d.test)"
 
 

@@ -52,6 +52,17 @@ def live_detections(units: DataFrame, model: DataFrame | None, path: str, mode:
     return written(units.sparkSession, path, VERDICTS).drop("batch")
 
 
+def verdict_stream(units: DataFrame, model: DataFrame | None, path: str, mode: str = "hybrid", **lists) -> DataFrame:
+    """Whole verdicts of a stream of units as a stream again, for operators with state of their own: each (conv_id, turn) once, exempt ones left out.
+
+    Scoring joins and aggregates, which only batches can, so a first query writes verdicts under path and what is returned reads
+    them. A batch of the first that ran again has new files; its repeated rows are dropped by key.
+    """
+    live_detections(units, model, path, mode, **lists)
+    found = units.sparkSession.readStream.schema(f"{VERDICTS}, batch long").parquet(f"{path}/rows")
+    return found.where("verdict <> 'exempt'").drop("batch").dropDuplicates(["conv_id", "turn"])
+
+
 LOG = "scope long, total long, aggressive long, safe long, turns array<long>, texts array<string>, scores array<double>, flags array<int>"
 
 

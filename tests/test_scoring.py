@@ -1,6 +1,7 @@
 """Known scores, policy and disguises."""
 
 import hashlib
+import os
 import re
 
 import pytest
@@ -271,6 +272,8 @@ def test_live_stream_equals_batch(spark, tmp_path):
     batch = s.live_verdicts(d, model, ["conv_id", "turn"])
     assert sorted(map(repr, live.live_detections(stream, model, str(tmp_path / "v")).collect())) == sorted(map(repr, batch.collect()))
     found = detect.detections(d)
+    whole = live.verdict_stream(stream, model, str(tmp_path / "w"))
+    assert sorted(map(repr, detect.run_available(whole).select(batch.columns).collect())) == sorted(map(repr, batch.where("verdict <> 'exempt'").collect()))
     live.start(live.running_log(detect.detections(stream), most=5), str(tmp_path / "g"), mode="update").awaitTermination()
     log = {r.scope: r for r in live.present(live.written(spark, str(tmp_path / "g"), live.LOG)).collect()}
     last = {}
@@ -301,9 +304,25 @@ def test_vocabularies_are_clean():
     assert not set(v.NEGATORS) & set(v.LEXICON) and all(w == w.lower() for w in v.STOP_WORDS)
 
 
-def test_streamed_page_alerts_equal_batch(spark):
+def test_streamed_logs_equal_whole_verdicts(spark, tmp_path):
+    """Streams by conversation against windows over the batch of whole verdicts; lines of the report against its rows."""
     from aggrolens.plans import QUERIES
-
-    sf = "/root/testdata/sf0.01"
-    batch = sorted(map(tuple, QUERIES["page_alerts"](spark, sf).collect()))
+    from aggrolens.plans.detection import live_model
+    from aggrolens.plans.live import KEY, units
+
+    sf = str(tmp_path)
+    for name in ("documents", "labels"):
+        os.symlink(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    said = [f"you {v.BLOCKLIST[0]}", "hello there", "a quiet word", f"so {v.WHITELIST[0]} it is", None]
+    rows = [(c, i, "user", said[(c * i) % 5]) for c in range(4) for i in range(40)]
+    spark.createDataFrame(rows + rows[:9], detect.UNITS).coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    found = s.stored(s.live_verdicts(units(spark, sf), live_model(spark, sf), KEY).where("verdict <> 'exempt'"), "found")
+    batch = sorted(map(tuple, logs.page_alerts(found.withColumn("unit", F.col("turn")), "conv_id", "turn", "unit").collect()))
     assert batch and sorted(map(tuple, QUERIES["stream_page_alerts"](spark, sf).collect())) == batch
+    rows = QUERIES["stream_detections"](spark, sf).select("conv_id", "turn", "verdict", "flagged")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, found.select(rows.columns).collect()))
+    totals = found.groupBy("conv_id").agg(F.count("*").alias("total"), F.sum("flagged").alias("aggressive"))
+    assert sorted(map(tuple, QUERIES["stream_running_log"](spark, sf).select("scope", "total", "aggressive").collect())) == sorted(map(tuple, totals.collect()))
+    lines = QUERIES["log_report_lines"](spark, sf)
+    blocked = {(x.conv_id, x.turn) for x in lines.where("verdict = 'BLOCKED'").collect()}
+    assert blocked == {(x.conv_id, x.turn) for x in found.where("flagged = 1").collect()}
