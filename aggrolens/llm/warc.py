@@ -79,8 +79,10 @@ def page_records(page_id: int | None, url: str | None, html: bytes, first: int |
         yield header("continuation", own, len(piece), X_Page_ID=page_id, WARC_Segment_Origin_ID=rid, WARC_Segment_Number=n, WARC_Segment_Total_Length=total) + piece
 
 
-def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_bytes: int = 8192, chunk_bytes: int = 4096, records_per_file: int = 2000) -> None:
-    """Write gzip-compressed archives, at most records_per_file records each, under path.
+def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_bytes: int = 8192, chunk_bytes: int = 4096, file_bytes: int = 16 << 20) -> None:
+    """Write gzip-compressed archives under path, of about file_bytes each before compression at most.
+
+    A record holds at most segment_bytes besides its header, so that a number of records bounds a file whatever the pages' lengths (one record at least).
 
     Payload: html in UTF-8 (null: empty). Of equal payloads of at least min_revisit_bytes that with
     the smallest page_id is a response and the others revisit it. Rows that share the smallest
@@ -100,68 +102,118 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_bytes
                 rows = zip(*[c.to_pylist() for c in b.slice(at, 500).columns], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([r for x in rows for r in page_records(*x, segment_bytes, chunk_bytes)], pa.binary())], ["record"])
 
-    d.select("page_id", "url", "html", "first").mapInArrow(run, "record binary").select(F.col("record").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    d.select("page_id", "url", "html", "first").mapInArrow(run, "record binary").select(F.col("record").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", max(1, file_bytes // segment_bytes)).text(path)
 
 
 RECORD = "record_id string, kind string, page_id long, refers_to string, digest string, origin string, segment int, total long, block binary"
 
 
-def unzipped(data: bytes) -> bytes:
-    """What the gzip members of an archive hold, as far as they can be read; other archives as they are."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        try:
-            out.append(z.decompress(data))
-        except zlib.error:
-            break
-        data = z.unused_data
-    return b"".join(out) if out else data
+PIECE = 1 << 20
 
 
-def one_record(data: bytes, at: int) -> tuple[tuple, int]:
-    """The record that begins at a place, and where it ends; ValueError if its header or length is wrong."""
+def unzipped(data: bytes) -> Iterator[bytes]:
+    """What the gzip members of an archive hold, as far as they can be read, in pieces of at most 1 MiB; other archives as they are."""
+    view = memoryview(data)
+    if data[:2] != b"\x1f\x8b":
+        yield from (bytes(view[at : at + PIECE]) for at in range(0, len(view), PIECE))
+        return
+    at = 0
+    while data[at : at + 2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        while not z.eof and at < len(view):
+            given = bytes(view[at : at + PIECE])
+            at += len(given)
+            while given and not z.eof:
+                try:
+                    piece = z.decompress(given, PIECE)
+                except zlib.error:
+                    return
+                given = z.unconsumed_tail
+                if piece:
+                    yield piece
+        at -= len(z.unused_data)
+        if not z.eof:
+            yield z.flush()
+
+
+class Cut(ValueError):
+    """A record goes on beyond the bytes at hand."""
+
+
+def one_record(data: bytes | bytearray, at: int) -> tuple[tuple, int]:
+    """The record that begins at a place, and where it ends; ValueError if its header or length is wrong, Cut if more bytes may mend it."""
+    if not data.startswith(b"WARC/1.", at):
+        raise Cut if len(data) - at < 7 else ValueError("no record header")
     end = data.find(END, at)
-    if end < 0 or not data.startswith(b"WARC/1.", at):
-        raise ValueError("no record header")
+    if end < 0:
+        raise Cut
     lines = data[at:end].decode(errors="replace").split("\r\n")
     f = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     if not {"content-length", "warc-record-id", "warc-type"} <= f.keys():
         raise ValueError("a header is missing")
     start = end + len(END)
     stop = start + int(f["content-length"])
-    if stop < start or stop > len(data):
-        raise ValueError("cut short")
+    if stop < start:
+        raise ValueError("a negative length")
+    if stop > len(data):
+        raise Cut
     number = lambda k: int(f[k]) if k in f else None
     rid = f["warc-record-id"]
     digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
-    return (rid, f["warc-type"], number("x-page-id"), f.get("warc-refers-to"), digest, f.get("warc-segment-origin-id", rid), number("warc-segment-number"), number("warc-segment-total-length"), data[start:stop]), stop + len(END)
+    return (rid, f["warc-type"], number("x-page-id"), f.get("warc-refers-to"), digest, f.get("warc-segment-origin-id", rid), number("warc-segment-number"), number("warc-segment-total-length"), bytes(data[start:stop])), stop + len(END)
 
 
 def parsed(data: bytes) -> Iterator[tuple]:
-    """The records of one archive file. What is no sound record, up to the next header that follows a blank line, is one of kind broken."""
-    data, at = unzipped(data), 0
-    while at < len(data):
+    """The records of one archive file, read as a stream: held are the file as stored and the record at hand, unzipped.
+
+    What is no sound record, up to the next header that follows a blank line, is one of kind
+    broken. A length that reaches beyond the end of the file shows there only, so the bytes after
+    such a header are held until then.
+    """
+    pieces, held, at, ended, want = unzipped(data), bytearray(), 0, False, 0
+    while True:
+        while not ended and (len(held) - at < want or at >= len(held)):
+            gone = min(at, len(held))
+            del held[:gone]
+            at -= gone
+            piece = next(pieces, None)
+            ended = piece is None
+            held += piece or b""
+        if at >= len(held):
+            return
         try:
-            record, at = one_record(data, at)
-        except ValueError:
-            more = data.find(END + b"WARC/1.", at)
-            stop = more + len(END) if more >= 0 else len(data)
-            record, at = (None, "broken", None, None, None, None, None, None, data[at:stop]), stop
+            record, at = one_record(held, at)
+            want = 0
+        except ValueError as e:
+            more = -1 if isinstance(e, Cut) and not ended else held.find(END + b"WARC/1.", at)
+            if more < 0 and not ended:
+                want = 2 * (len(held) - at) + 1
+                continue
+            stop = more + len(END) if more >= 0 else len(held)
+            record, at, want = (None, "broken", None, None, None, None, None, None, bytes(held[at:stop])), stop, 0
         yield record
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """The records in the archives under path, segments as they stand."""
+def records(spark: SparkSession, path: str, batch_bytes: int = 8 << 20) -> DataFrame:
+    """The records in the archives under path, segments as they stand; at most batch_bytes of them (one record at least) leave Python at a time."""
     names = [x.split()[0] for x in RECORD.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0):
-                rows = list(parsed(data.as_py()))
-                for at in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 1000], strict=True), kinds, strict=True)], names)
+            for i in range(b.num_rows):
+                rows, size = [], 0
+                for r in parsed(b.column(0)[i].as_py()):
+                    if rows and (size + len(r[-1]) > batch_bytes or len(rows) == 1000):
+                        yield batch(rows)
+                        rows, size = [], 0
+                    rows.append(r)
+                    size += len(r[-1])
+                if rows:
+                    yield batch(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 

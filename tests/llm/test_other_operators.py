@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -21,7 +22,7 @@ def test_warc(spark, tmp_path):
     html += html[:12] + ["long " * 40_000]
     rows = [(i, f"http://h/{i}", t, 1) for i, t in enumerate(html)] + [(3, "http://again", html[3], 1), (None, "u", "null id", 1)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, block int")
-    got = warc.archived_pages(d, segment_bytes=700, chunk_bytes=300, records_per_file=20).collect()
+    got = warc.archived_pages(d, segment_bytes=700, chunk_bytes=300, file_bytes=14_000).collect()
     first = {}
     for i, _, t, _ in rows:
         if i is not None:
@@ -46,9 +47,29 @@ def test_warc_payloads_and_damage(spark, tmp_path):
     assert {r.page_id: r.valid for r in broken} == {1: False, 2: True}
 
 
+def test_warc_files_are_bounded(spark, tmp_path):
+    d = spark.createDataFrame([(i, "u", f"{i}" + "".join(random.Random(i).choices("abcdefgh", k=50_000))) for i in range(12)], "page_id long, url string, html string").coalesce(1)
+    warc.write(d, str(tmp_path / "w"), segment_bytes=1000, file_bytes=100_000)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "w").glob("*.gz")]
+    assert len(sizes) > 5 and max(sizes) < 160_000
+    assert warc.read(spark, str(tmp_path / "w")).where("valid").count() == 12
+
+
+def test_warc_stream_holds_little():
+    """A file of many members is read as it is unzipped: the first record is there while the rest is still stored."""
+    one = lambda i: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Length: 1000000\r\n\r\n%s\r\n\r\n" % (i, b"a" * 1_000_000)
+    data = b"".join(gzip.compress(one(i)) for i in range(60))
+    tracemalloc.start()
+    assert sum(len(r[-1]) for r in warc.parsed(data)) == 60_000_000
+    assert tracemalloc.get_traced_memory()[1] < 12_000_000
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 1 << 20])
 @pytest.mark.parametrize("harm", ["header", "length", "cut", "noise", "gzip"])
-def test_warc_of_broken_records(harm):
+def test_warc_of_broken_records(harm, piece, monkeypatch):
     """A broken record is one row of its own, and those around it are read."""
+    monkeypatch.setattr(warc, "PIECE", piece)
     one = lambda i, body, length=None: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nX-Page-Id: %d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, i, len(body) if length is None else length, body)
     a, b, c = one(1, b"first"), one(2, b"second"), one(3, b"third")
     data = {"header": a + b.replace(b"WARC-Type: response\r\n", b"") + c, "length": a + b.replace(b"Content-Length: 6", b"Content-Length: six") + c, "cut": a + b + c[:-9], "noise": a + b"rubbish\r\n\r\n" + c, "gzip": gzip.compress(a) + gzip.compress(c)[:-3] + b"x"}[harm]
