@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, saved
 
-CELLS = 4096
+CELL_ROWS = 4096
+WING = 4096
 
 
 def word_count(text: str = "text") -> Column:
@@ -23,6 +24,14 @@ def _number(digest: Column, digits: int) -> Column:
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
 
 
+def cell_digits(rows: int) -> int:
+    """Hexadecimal digits of a cell: a source that held all rows would have about CELL_ROWS of them a cell at most."""
+    digits = 3
+    while 16**digits * CELL_ROWS < rows and digits < 7:
+        digits += 1
+    return digits
+
+
 def highest_quotients(df: DataFrame, by: list[str], key: str, weight: str, seats: str, out: str) -> DataFrame:
     """Give each group's `seats` (equal in its rows) to its rows by the highest quotients weight / (2k + 1).
 
@@ -52,16 +61,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     Documents lie in each source's shards in seeded order; a shard's words are cut into blocks of
     nearly equal length (`block_words`; fewer in corpora under 100,000 such blocks). Blocks go to
     sources, then to a source's shards, by the highest quotients, and a shard takes its quota as
-    whole passes and a seeded run of blocks. Shards are ranges of 4096 hash cells of a source, so a
-    hot source is spread, and neither windows nor joins are by source alone.
+    whole passes and a seeded run of blocks. Shards are ranges of a source's hash cells, whose
+    number grows with the table (`cell_digits`), so a hot source is spread and neither windows nor
+    joins are by source alone; seats go to wings of 4096 shards first, so that no ranking is longer.
 
     Returns doc_id, size, source_size, target, taken, passes (whole copies), parts (array of
     start, words: runs of words taken besides), and the columns in `passing`.
     Null or blank texts: size 0, nothing taken. Null doc_ids and repeated rows: each row is
     its own document; rows alike in doc_id and size are interchangeable. An empty table gives none.
     """
+    digits = cell_digits(docs.count())
+    n_cells = 16**digits
     d = docs.select("doc_id", F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")).alias("sk"), word_count().alias("size"), *passing)
-    d = d.withColumn("key", _seeded(F.lit(seed), F.col("doc_id"), F.col("size"))).withColumn("cell", _number(F.col("key"), 3))
+    d = d.withColumn("key", _seeded(F.lit(seed), F.col("doc_id"), F.col("size"))).withColumn("cell", _number(F.col("key"), digits))
     if not passing:
         d = saved(d)
     cells = saved(d.groupBy("sk", "cell").agg(F.sum("size").alias("cw")))
@@ -78,17 +90,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     src = src.withColumn("level", F.max(F.when(~F.col("full"), F.col("level"))).over(every))
     src = src.withColumn("target", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("level")))
     src = src.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.expr("total div 100000"))))
-    src = src.withColumn("n_shards", F.greatest(F.lit(1), F.least(F.lit(CELLS), F.ceil(F.col("source_size") / shard_words))).cast("long"))
+    src = src.withColumn("n_shards", F.greatest(F.lit(1), F.least(F.lit(n_cells), F.ceil(F.col("source_size") / shard_words))).cast("long"))
     src = saved(src.select("sk", "source_size", "target", "block", "n_shards"))
 
-    placed = cells.join(src, "sk").withColumn("shard", F.expr(f"cell * n_shards div {CELLS}"))
-    shards = placed.groupBy("sk", "shard").agg(F.sum("cw").alias("words"), F.first("block").alias("block"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    placed = cells.join(src, "sk").withColumn("shard", F.expr(f"cell * n_shards div {n_cells}")).withColumn("wing", F.expr(f"shard div {WING}"))
+    shards = placed.groupBy("sk", "wing", "shard").agg(F.sum("cw").alias("words"), F.first("block").alias("block"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     shards = shards.withColumn("blocks", F.when(F.col("words") > 0, F.greatest(F.lit(1), F.round(F.col("words") / F.col("block")))).otherwise(0).cast("long"))
     own = shards.groupBy("sk").agg(F.sum("blocks").alias("blocks"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
     own = own.withColumn("due", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)).withColumn("one", F.lit(0))
     own = own.withColumn("seats", F.round(F.sum("due").over(every)).cast("long"))
     own = highest_quotients(own, ["one"], "sk", "due", "seats", "won").select("sk", F.least("won", F.col("blocks") * max_epochs).alias("won"))
-    shards = highest_quotients(shards.join(own, "sk"), ["sk"], "shard", "blocks", "won", "quota")
+    wings = shards.groupBy("sk", "wing").agg(F.sum("blocks").alias("blocks"))
+    wings = highest_quotients(wings.join(own, "sk"), ["sk"], "wing", "blocks", "won", "due").select("sk", "wing", "due")
+    shards = highest_quotients(shards.join(wings, ["sk", "wing"]), ["sk", "wing"], "shard", "blocks", "due", "quota")
 
     run = W.partitionBy("sk", "shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     at = placed.select("sk", "cell", "shard", F.coalesce(F.sum("cw").over(run), F.lit(0)).alias("cell_at"))

@@ -51,12 +51,15 @@ def texts():
     return [*out, None, "", "  \n", "x" * 700, "ab" * 300, say(4000), "naïve <|endoftext|> ſ   end"]
 
 
-@pytest.mark.parametrize("extra", [False, True])
-def test_mixing(spark, texts, extra):
+@pytest.mark.parametrize(("extra", "cell_rows", "wing", "shard"), [(False, 4096, 4096, 50_000), (True, 4096, 4096, 50_000), (False, 0.02, 3, 300)])
+def test_mixing(spark, texts, monkeypatch, extra, cell_rows, wing, shard):
+    monkeypatch.setattr(mixing, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(mixing, "WING", wing)
     d = table(spark, texts, extra=extra)
-    got = mixing.mix(d).collect()
+    assert mixing.cell_digits(d.count()) == (4 if cell_rows < 1 else 3)
+    got = mixing.mix(d, shard_words=shard).collect()
     assert len(got) == len(texts)
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(d.repartition(7)).collect()))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(d.repartition(7), shard_words=shard).collect()))
     size = {i: len(words(t)) for i, t in enumerate(texts)}
     source = {i: ("a", "b", None)[i % 3] for i in size}
     total = {s: sum(size[i] for i in size if source[i] == s) for s in ("a", "b", None)}
@@ -76,6 +79,10 @@ def test_mixing(spark, texts, extra):
         assert abs(sum(r.taken for r in got if source[r.doc_id] == s) - t) <= max(3, 0.01 * t)
 
 
+def test_cells_grow_with_the_table():
+    assert [mixing.cell_digits(n) for n in (0, 1 << 24, (1 << 24) + 1, 1 << 30, 10**11)] == [3, 3, 4, 5, 7]
+
+
 def test_mixing_quotients(spark):
     d = spark.createDataFrame([(k, float(w), 0, 97) for k, w in enumerate([53, 24, 23, 0.4, 0])], "key int, w double, one int, seats long")
     got = {r.key: r.won for r in mixing.highest_quotients(d, ["one"], "key", "w", "seats", "won").collect()}
