@@ -14,6 +14,7 @@ from .common import connected_components, saved
 from .vectors import distinct_vectors, keyed, matrix, whole_groups
 
 BLOCK = 512
+NEAR = 1e-9
 
 
 def plan(n: int, cosine: float, recall: float) -> tuple[int, int]:
@@ -30,6 +31,22 @@ def sign_codes(v: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
     return (signs << np.arange(bits)).sum(axis=2).astype(np.int32)
 
 
+def linked(v: np.ndarray, w: np.ndarray, cosine: float) -> np.ndarray:
+    """Which rows of v and w have a cosine of at least `cosine`.
+
+    A matrix product finds them; its rounding changes with the shape of the blocks, so pairs
+    within 1e-9 of the threshold are measured one by one, on the vectors as given.
+    """
+    a, b = np.linalg.norm(v, axis=1), np.linalg.norm(w, axis=1)
+    c = (v / a[:, None]) @ (w / b[:, None]).T
+    close = c >= cosine
+    p, q = np.nonzero(np.abs(c - cosine) < NEAR)
+    for at in range(0, len(p), 1 << 12):
+        x, y = p[at : at + (1 << 12)], q[at : at + (1 << 12)]
+        close[x, y] = (v[x] * w[y]).sum(axis=1) / (a[x] * b[y]) >= cosine
+    return close
+
+
 def links_in(left: pa.Table, right: pa.Table | None, table: int, cosine: float) -> pa.RecordBatch:
     """Links within a block or between two: rid, links (rows of the partners), root (the smallest rid that its links lead to).
 
@@ -37,10 +54,9 @@ def links_in(left: pa.Table, right: pa.Table | None, table: int, cosine: float)
     """
     both = left if right is None else pa.concat_tables([left, right]).combine_chunks()
     v = matrix(both.column("v").chunk(0))
-    v = v / np.linalg.norm(v, axis=1, keepdims=True)
     codes, n, rid = matrix(both.column("codes").chunk(0)), both.column("n").to_numpy(), both.column("rid").to_numpy()
     a = len(left)
-    close = v[:a] @ (v if right is None else v[a:]).T >= cosine
+    close = linked(v[:a], v if right is None else v[a:], cosine)
     p, q = np.nonzero(np.triu(close, 1) if right is None else close)
     q = q if right is None else q + a
     new = ~(codes[p, :table] == codes[q, :table]).any(axis=1)

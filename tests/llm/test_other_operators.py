@@ -129,6 +129,18 @@ def test_embedding_links(spark, vectors):
     assert embedding_dedup.near_duplicates(frame(spark, vectors).limit(0)).count() == 0
 
 
+def test_links_at_the_threshold():
+    """A pair's link does not hang on the block in which it is found."""
+    r = np.random.default_rng(3)
+    v = r.standard_normal((300, 24))
+    w = r.standard_normal((300, 24))
+    at = float((v[5] * w[9]).sum() / (np.linalg.norm(v[5:6], axis=1)[0] * np.linalg.norm(w[9:10], axis=1)[0]))
+    for lo in (5, 3, 0):
+        for hi in (10, 11, 64, 300):
+            assert embedding_dedup.linked(v[lo:hi], w[lo:hi], at)[5 - lo, 9 - lo]
+            assert not embedding_dedup.linked(v[lo:hi], w[lo:hi], float(np.nextafter(at, 1)))[5 - lo, 9 - lo]
+
+
 def test_hilbert_is_a_curve():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         g = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
