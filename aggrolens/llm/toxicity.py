@@ -94,10 +94,17 @@ class Distances:
         return top[0], top[1], float(np.log1p(sum(x > 2 for x in d)))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of a few rows, so that few texts are Python strings at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _features(docs: DataFrame, model: Model, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = model.distances()
-        for b in batches:
+        for b in pieces(batches):
             f = np.array([d.features(x or "") for x in b.column(1).to_pylist()], float).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in f.T), pa.array(model.score(f))], ["key", "f1", "f2", "f3", "score"])
 
@@ -194,7 +201,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = model.distances()
-        for b in batches:
+        for b in pieces(batches):
             f = np.array([d.features(x or "") for x in b.column(i).to_pylist()], float).reshape(-1, 3)
             yield b.filter(pa.array(model.score(f) < 0.5))
 
