@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import nodes
-from ..storage import shared_path, stored
+from ..storage import shared_path
 from ..streaming import bounded, changes, quiet, settings
 from ..streaming.detect import run_available
 from .detection import table
@@ -56,12 +56,12 @@ def stream_scan_bursts(spark, sf):
 def stream_quiet_scans(spark, sf):
     """Different nodes that pages' change records name, gathered until a page has been quiet by the clock."""
     path = shared_path(spark, "quiet")
-    records = stored(changes.change_records(nodes.nodes(table(spark, sf, "pages"))), "records")
+    records = changes.change_records(nodes.nodes(table(spark, sf, "pages")))
     records.write.parquet(f"{path}/records")
     scans = quiet.quiet_scans(spark.readStream.schema(records.schema).parquet(f"{path}/records"))
-    total = records.count()
+    total = spark.read.schema(records.schema).parquet(f"{path}/records").count()
     q = quiet.started(scans, path)
-    quiet.until(q, lambda: quiet.given(spark, path) == total)
+    quiet.until(q, lambda: quiet.given(spark, path), total)
     found = quiet.written(spark, path).select("scope", F.explode("nodes").alias("node")).distinct()
     return found.groupBy(F.col("scope").alias("page_id")).agg(F.count("*").alias("n_nodes"))
 
