@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Collection, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import normalise as n
 from ..functions import vocab as v
+from ..functions.text import let
 from ..storage import spread, stored
 
 SIGN = r"\p{L}\p{N}"
@@ -20,7 +23,12 @@ BEFORE, AFTER = rf"(?<![{SIGN}])", rf"(?![{SIGN}])"
 #: Words with signs that stand for letters, words with hidden letters, and what runs() cuts texts into.
 DISGUISED = rf"(?<![{SIGN}\p{{M}}])[{SIGN}][{SIGN}\p{{M}}!*#_@$]{{1,{n.DISGUISED_MOST}}}[{SIGN}\p{{M}}](?![{SIGN}\p{{M}}])"
 PLAIN = rf"(?i){BEFORE}[a-z][a-z*#_]{{2,{n.PLAIN_MOST}}}[a-z]{AFTER}"
-RUN = rf"[{SIGN}\p{{M}}!*#_@$]+"
+SIGNS = "!*#_@$"
+IN_RUN = rf"{SIGN}\p{{M}}{SIGNS}"
+RUN = rf"[{IN_RUN}]+"
+FIRST, WHOLE = rf"(?<![{IN_RUN}])", rf"(?![{IN_RUN}])"
+#: A run with anything but ASCII letters.
+MIXED = rf"{FIRST}[A-Za-z]*+[{IN_RUN}&&[^A-Za-z]][{IN_RUN}]*+"
 
 
 # --- the index ---------------------------------------------------------------------------------
@@ -165,15 +173,88 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+@lru_cache(1)
+def plainest() -> tuple[list[str], list[str], list[str], str, str]:
+    """What a token is judged by before any join: slips and strong words in plain letters without repetitions; words that stay; ends and length of harsh words; and characters, what stands for them in plain letters, those that go being last. Characters that are no ASCII then, either, are left out."""
+    strong = [*n.harsh_words(), *(w for w in v.SHORT_ABUSE if v.LEXICON.get(w, 0) <= n.HARSH)]
+    known = {n.REPEATED.sub(r"\1", x) for w in {*strong, *(n.respellable() - v.LEXICON.keys())} for x in (w, n.folded(w))}
+    shapes = sorted({f"{w[0]}{w[-1]}{len(w)}" for w in n.harsh_words()})
+    letters = {c: n.folded(c) for c in map(chr, range(0x20000))}
+    letters = sorted(((c, x) for c, x in letters.items() if x != c and len(x) < 2 and x.isascii()), key=lambda p: (-len(p[1]), p[0]))
+    return sorted(known), [*v.LEXICON, *v.RECOVERY_SAFE], shapes, "".join(c for c, _ in letters), "".join(x for _, x in letters)
+
+
+def _branches(words: Collection[str], at: int = 0) -> str:
+    """What may follow `at` common letters of some words, each letter once or more."""
+    nexts = defaultdict(list)
+    for w in words:
+        nexts[w[at : at + 1]].append(w)
+    forms = [c + "+" + _branches(ws, at + 1) for c, ws in sorted(nexts.items()) if c]
+    return "(?:" + "|".join(forms + ([WHOLE] if "" in nexts else [])) + ")"
+
+
+@lru_cache(1)
+def spelled() -> str:
+    """The pattern of runs of ASCII letters that are, repetitions aside, a slip or a strong word. Look-ups of every run, one by one, take longer."""
+    words = [w for w in plainest()[0] if re.fullmatch("[a-z]+", w)]
+    return f"(?i){FIRST}(?=[a-z]{{{min(map(len, words), default=1)}}}){_branches(words)}"
+
+
+v.FORGOTTEN += [plainest.cache_clear, spelled.cache_clear]
+
+
+def may_stand_for(token: Column) -> Column:
+    """Whether a disguised or plain token may change: true for all that revealed() or typed() change, and for few others, so that little goes into the joins. In plain letters and without repetitions it is a slip or a strong word, or it has hidden letters and a harsh word's ends and length."""
+    known, settled, shapes, letters, plain = plainest()
+
+    def hidden(plain: Column) -> Column:
+        shape = lambda c: F.concat(F.substring(c, 1, 1), F.right(c, F.lit(1)), F.length(c).cast("string")).isin(shapes)
+        some = plain.contains("*") | plain.contains("#") | plain.contains("_")
+        return some & plain.rlike("^[a-z][a-z*#_]*[a-z]$") & (shape(plain) | shape(squeezed(plain)))
+
+    def judged(low: Column) -> Column:
+        found = let(F.translate(low, letters, plain), lambda x: squeezed(x).isin(known) | hidden(x))
+        if not all(w.isascii() for w in known):
+            found = found | low.rlike(r"[^\x00-\x7f]")
+        return found & ~low.isin(settled)
+
+    return let(F.lower(token), judged)
+
+
+def may_change(text: Column) -> Column:
+    """The different runs of texts with a token that may change. A run without signs and marks, but for signs at its ends, is one token."""
+
+    def judged(run: Column) -> Column:
+        parts = F.concat(matches(run, DISGUISED), matches(run, PLAIN))
+        return let(F.trim(run, F.lit(SIGNS)), lambda x: F.when(x.rlike(rf"[{SIGNS}\p{{M}}]"), F.exists(parts, may_stand_for)).otherwise(may_stand_for(x)))
+
+    letters = F.filter(F.array_distinct(matches(text, spelled())), may_stand_for)
+    return F.concat(letters, F.filter(F.array_distinct(matches(text, MIXED)), judged))
+
+
+def kept_apart(token: Column) -> Column:
+    """Whether letters that separated() found are kept apart, repeated or have look-alikes."""
+    return F.lower(token).rlike(r"[^a-z]|([a-z])\1")
+
+
 def changed(tokens: DataFrame, pattern: str, recover: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """token, word: of what matches pattern in tokens, what recover changes."""
-    return recover(tokens.select(F.explode(matches(F.col("run"), pattern)).alias("token")).distinct())
+    """run, token, word: what matches pattern in runs and recover changes."""
+    parts = stored(tokens.select("run", F.explode(F.filter(matches(F.col("run"), pattern), may_stand_for)).alias("token")), "parts")
+    return parts.join(recover(parts), "token")
+
+
+def candidates(keyed: DataFrame) -> DataFrame:
+    """key, text, runs, apart of the texts that may change: their runs with a token that may, and letters kept apart. Texts are searched here alone, and only such go on."""
+    apart = F.array_distinct(F.filter(matches(F.col("text"), separated()), kept_apart))
+    # a filter on named columns would be pushed below them and search the texts twice
+    found = F.filter(F.array(F.struct(may_change(F.col("text")).alias("runs"), apart.alias("apart"))), lambda x: (F.size(x["runs"]) > 0) | (F.size(x["apart"]) > 0))
+    return keyed.select("key", "text", F.inline(found))
 
 
-def replaced(docs: DataFrame, pattern: str, changes: DataFrame) -> DataFrame:
-    """docs (key, text) with what of text matches pattern replaced as changes (token, word) say. What changes goes back as a small map for each text that has any."""
-    pairs = docs.select("key", F.explode(F.array_distinct(matches(F.col("text"), pattern))).alias("token")).join(changes, "token")
-    maps = pairs.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("token", "word"))).alias("words"))
+def replaced(docs: DataFrame, pattern: str, may: Callable[[Column], Column], recover: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs (key, text) with what of text matches pattern replaced as recover says, of those matches that may change. What changes goes back as a small map for each text that has any."""
+    tokens = stored(docs.select("key", F.explode(F.array_distinct(F.filter(matches(F.col("text"), pattern), may))).alias("token")), "tokens")
+    maps = tokens.join(recover(tokens), "token").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("token", "word"))).alias("words"))
     found = F.transform(matches(F.col("text"), pattern), lambda w: F.coalesce(F.try_element_at("words", w), w))
     whole = F.array_join(F.flatten(F.zip_with(F.split("text", pattern, -1), found, lambda gap, w: F.array(gap, F.coalesce(w, F.lit(""))))), "")
     return docs.join(maps, "key", "left").select("key", F.when(F.col("words").isNull(), F.col("text")).otherwise(whole).alias("text"))
@@ -182,28 +263,26 @@ def replaced(docs: DataFrame, pattern: str, changes: DataFrame) -> DataFrame:
 def normalised(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with disguises of harsh words in text undone, as functions.normalise does text by text: disguised words, letters kept apart, then slips of the pen.
 
-    Runs of letters and signs are made distinct before anything is looked up, so the joins grow
-    with the vocabulary and not with the texts. Texts that hold a run, or letters kept apart, which
-    one of the dictionaries changes are set aside, each different one once, and rewritten by the
-    same joins in order; all others are known to stay. Null texts stay, too.
+    Texts are searched once; of their runs of letters and signs, those that may change are made
+    distinct before anything is looked up, so the joins grow with what is disguised and not with
+    the texts. Texts that hold a run, or letters kept apart, which one of the dictionaries changes
+    are set aside, each different one once, and rewritten by the same joins in order; all others
+    are known to stay. Null texts stay, too.
     """
     forms = stored(known_forms(docs.sparkSession), "forms")
     disguised, slips = (lambda d: revealed(d, forms)), (lambda d: typed(d, forms))
     d = spread(docs).withColumn(text, composed(F.col(text)))
     keyed = d.select(F.md5(text).alias("key"), F.col(text).alias("text")).where("text is not null")
-    known = stored(keyed.select(F.explode(matches(F.col("text"), RUN)).alias("run")).distinct(), "runs")
-    odd = None
-    for pattern, recover in ((DISGUISED, disguised), (PLAIN, slips)):
-        hit = known.select("run", F.explode(matches(F.col("run"), pattern)).alias("token")).join(changed(known, pattern, recover), "token").select("run")
-        odd = hit if odd is None else odd.union(hit)
-    apart = keyed.select("key", F.explode(F.array_distinct(matches(F.col("text"), separated()))).alias("token")).where(F.lower("token").rlike(r"[^a-z]|([a-z])\1"))
-    apart = stored(apart, "apart")
-    odd = stored(odd.distinct(), "odd")  # its size decides on the join with all runs of all texts
-    keys = keyed.select("key", F.explode(F.array_distinct(matches(F.col("text"), RUN))).alias("run")).join(odd, "run").select("key")
-    keys = keys.union(apart.join(put_together(apart), "token").select("key")).distinct()
-    some = stored(keyed.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "affected")
-    for pattern, recover in ((DISGUISED, disguised), (separated(), put_together), (PLAIN, slips)):
-        some = stored(replaced(some, pattern, changed(some.withColumnRenamed("text", "run"), pattern, recover)), "rewritten")
+    found = stored(candidates(keyed), "candidates")
+    runs = stored(found.select("key", F.explode("runs").alias("run")), "runs")
+    known = stored(runs.select("run").distinct(), "known")
+    odd = changed(known, DISGUISED, disguised).select("run").union(changed(known, PLAIN, slips).select("run")).distinct()
+    apart = stored(found.select("key", F.explode("apart").alias("token")), "apart")
+    keys = runs.join(odd, "run").select("key").union(apart.join(put_together(apart), "token").select("key"))
+    keys = stored(keys.distinct(), "keys")  # its size decides on the join with the candidates
+    some = stored(found.select("key", "text").join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "affected")
+    for pattern, may, recover in ((DISGUISED, may_stand_for, disguised), (separated(), kept_apart, put_together), (PLAIN, may_stand_for, slips)):
+        some = stored(replaced(some, pattern, may, recover), "rewritten")
     out = d.withColumn("_key", F.md5(text)).join(some.select(F.col("key").alias("_key"), F.col("text").alias("_new")), "_key", "left")
     return out.withColumn(text, F.coalesce("_new", F.col(text))).select(*docs.columns)
 

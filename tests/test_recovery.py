@@ -44,3 +44,34 @@ def test_query_equals_normalize_text(spark):
 def test_index(spark):
     index = {(x.variant, x.word, x.words) for x in r.spellings(spark).collect()}
     assert index == {(x, w, len(ws)) for x, ws in n.recovery().items() for w in ws}
+
+
+ODD = [
+    "f00lish 455 2023 4b5c snake_case_name **bold** #tag id10t's m0r0n2 stp1d́", "stpid́ ídiot 가idiot іdiot", "aassshole stuppid stuupid beteer hateful", "a!stpid_ $tpid 5tupid! moron_", "sstupid STUPPID sTuPpId",
+    "dragged " + "i" * 40 + "diot " + "s" * 5 + "tupid", "worthles wrothles loooooser l o s e r", "id_ot mo#on m**n tr_sh tra$h 7rash",
+]
+
+
+def test_texts_are_read_twice(spark):
+    """Once to find what may change and once to give all texts back, however many steps there are."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    d = spark.createDataFrame([(i, x) for i, x in enumerate([*TEXTS, *ODD])], "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in r.normalised(d).collect()}
+    assert got == {i: None if x is None else n.normalised(x) for i, x in enumerate([*TEXTS, *ODD])}
+    assert read.value <= 2 * len(got)
+
+
+def test_only_what_changes_goes_on(spark):
+    """Of slips, masks and look-alikes of all harsh words no changed token is left out, and plain words and numbers go no further."""
+    words = {x for w in n.harsh_words() for x in (w.upper(), w[0] + "*" + w[2:], w[:2] + "_" + w[3:], w[0] + w, w[:-1] + w[-1] * 3, w.replace("a", "4").replace("i", "!"), w.replace("e", "é"), w.replace("o", "о"), *n.variants(w))}
+    moved = {w for w in words if n.DISGUISED.fullmatch(w) and (n.revealed(w) != w or n._typed(w) != w)}
+    assert len(moved) > 800
+    d = spark.createDataFrame([(" ".join(sorted(words)),), ("as stupid Stupid people in 1924 w0rk for snake_case words, cafés and 3 others!",)], "text string")
+    runs = [set(x.runs) for x in d.select(r.may_change(r.F.col("text")).alias("runs")).collect()]
+    assert moved <= runs[0] and not runs[1]
