@@ -243,21 +243,32 @@ def changed(tokens: DataFrame, pattern: str, recover: Callable[[DataFrame], Data
     return parts.join(recover(parts), "token")
 
 
+def searched(text: Column) -> Column:
+    """text, runs, apart as a struct: a text, its runs with a token that may change, and letters kept apart. Texts are searched here alone."""
+    apart = F.array_distinct(F.filter(matches(text, separated()), kept_apart))
+    return F.struct(text.alias("text"), may_change(text).alias("runs"), apart.alias("apart"))
+
+
 def candidates(keyed: DataFrame) -> DataFrame:
-    """key, text, runs, apart of the texts that may change: their runs with a token that may, and letters kept apart. Texts are searched here alone, and only such go on."""
-    apart = F.array_distinct(F.filter(matches(F.col("text"), separated()), kept_apart))
+    """key, text, runs, apart of the texts that may change."""
     # a filter on named columns would be pushed below them and search the texts twice
-    found = F.filter(F.array(F.struct(may_change(F.col("text")).alias("runs"), apart.alias("apart"))), lambda x: (F.size(x["runs"]) > 0) | (F.size(x["apart"]) > 0))
-    return keyed.select("key", "text", F.inline(found))
+    found = F.filter(F.array(searched(F.col("text"))), lambda x: (F.size(x["runs"]) > 0) | (F.size(x["apart"]) > 0))
+    return keyed.select("key", F.inline(found))
+
+
+def within(docs: DataFrame, pattern: str) -> DataFrame:
+    """key, token of what matches pattern in the runs of docs and may change."""
+    return docs.select("key", F.explode("runs").alias("run")).select("key", F.explode(F.filter(matches(F.col("run"), pattern), may_stand_for)).alias("token")).distinct()
 
 
-def replaced(docs: DataFrame, pattern: str, may: Callable[[Column], Column], recover: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """docs (key, text) with what of text matches pattern replaced as recover says, of those matches that may change. What changes goes back as a small map for each text that has any."""
-    tokens = stored(docs.select("key", F.explode(F.array_distinct(F.filter(matches(F.col("text"), pattern), may))).alias("token")), "tokens")
+def replaced(docs: DataFrame, pattern: str, tokens: DataFrame, recover: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs (key, text, runs, apart) with what of text matches pattern replaced as recover says of tokens (key, token). What changes goes back as a small map for each text that has any; such texts are searched again."""
+    tokens = stored(tokens, "tokens")
     maps = tokens.join(recover(tokens), "token").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("token", "word"))).alias("words"))
     found = F.transform(matches(F.col("text"), pattern), lambda w: F.coalesce(F.try_element_at("words", w), w))
     whole = F.array_join(F.flatten(F.zip_with(F.split("text", pattern, -1), found, lambda gap, w: F.array(gap, F.coalesce(w, F.lit(""))))), "")
-    return docs.join(maps, "key", "left").select("key", F.when(F.col("words").isNull(), F.col("text")).otherwise(whole).alias("text"))
+    new = F.when(F.col("words").isNull(), F.struct("text", "runs", "apart")).otherwise(let(whole, searched))
+    return docs.join(maps, "key", "left").select("key", F.inline(F.array(new)))
 
 
 def normalised(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -280,9 +291,11 @@ def normalised(docs: DataFrame, text: str = "text") -> DataFrame:
     apart = stored(found.select("key", F.explode("apart").alias("token")), "apart")
     keys = runs.join(odd, "run").select("key").union(apart.join(put_together(apart), "token").select("key"))
     keys = stored(keys.distinct(), "keys")  # its size decides on the join with the candidates
-    some = stored(found.select("key", "text").join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "affected")
-    for pattern, may, recover in ((DISGUISED, may_stand_for, disguised), (separated(), kept_apart, put_together), (PLAIN, may_stand_for, slips)):
-        some = stored(replaced(some, pattern, may, recover), "rewritten")
+    first = F.first(F.struct("text", "runs", "apart")).alias("x")
+    some = stored(found.join(keys, "key", "left_semi").groupBy("key").agg(first).select("key", "x.*"), "affected")
+    for pattern, recover in ((DISGUISED, disguised), (separated(), put_together), (PLAIN, slips)):
+        tokens = some.select("key", F.explode("apart").alias("token")) if recover is put_together else within(some, pattern)
+        some = stored(replaced(some, pattern, tokens, recover), "rewritten")
     out = d.withColumn("_key", F.md5(text)).join(some.select(F.col("key").alias("_key"), F.col("text").alias("_new")), "_key", "left")
     return out.withColumn(text, F.coalesce("_new", F.col(text))).select(*docs.columns)
 
